@@ -65,6 +65,11 @@ def kept_columns(df: DataFrame, names: list[str]) -> list[Column]:
     return [df[f"`{c}`"] for c in names]
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: unlike an alias, an exploded array of one isn't put in place of its name by the optimizer, which would compute it again in each lambda or pushed filter that mentions it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, group: str | None = None) -> DataFrame:
     """About ``bound`` rows of df (of each value of ``group``), the same ones at each run: those whose hashed key is low."""
     scale = 1 << 30
