@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, media, mixing, quality, secrets, simhash_dedup, toxicity
+from . import chat, decontamination, licenses, media, mixing, quality, secrets, simhash_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat": chat.op7_chat,
         "op8_quality": quality.op8_quality,
         "op9_mixing": mixing.op9_mixing,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
