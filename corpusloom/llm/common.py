@@ -70,10 +70,10 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, group: str | None = None) -> DataFrame:
-    """About ``bound`` rows of df (of each value of ``group``), the same ones at each run: those whose hashed key is low."""
+def bounded_sample(df: DataFrame, key: str, bound: int, group: str | None = None, salt: str = "sample") -> DataFrame:
+    """About ``bound`` rows of df (of each value of ``group``), the same ones at each run: those whose hashed key is low. A sample of a sample needs another salt."""
     scale = 1 << 30
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(scale))
+    spread = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(scale))
     if group is None:
         n = df.count()
         return df if n <= bound else df.where(spread < int(scale * bound / n))

@@ -32,7 +32,7 @@ def learn_classifier(labelled: DataFrame, domains: list[str], vocabulary: int =
     labelled: doc_id, text, domain. At most ``vocabulary`` rows. Counts of a text's repeated words are
     damped by counting documents.
     """
-    some = bounded_sample(labelled.where(F.col("domain").isin(domains)), "doc_id", sample, "domain")
+    some = bounded_sample(labelled.where(F.col("domain").isin(domains)), "doc_id", sample, "domain", "classifier")
     tokens = some.select("domain", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).where("w <> ''")
     counts = tokens.groupBy("w").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n{k}") for k, d in enumerate(domains)))
     sizes = some.groupBy("domain").count().collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,10 +61,10 @@ class Ids(dict):
         return value
 
 
-def learn_vectors(docs: list[list[str]], size: int) -> tuple[dict[str, int], np.ndarray]:
+def learn_vectors(docs: Callable[[], Iterable[list[str]]], size: int) -> tuple[dict[str, int], np.ndarray]:
     """A word's vector: its own index vector and those of the two words on either side of each occurrence, scaled to length one."""
     seen = Counter()
-    for d in docs:
+    for d in docs():
         seen.update(set(d))
     words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:size]
     ids = {w: k + len(CLASSES) for k, w in enumerate(words)}
@@ -71,7 +72,7 @@ def learn_vectors(docs: list[list[str]], size: int) -> tuple[dict[str, int], np.
     context = np.zeros_like(base)
     known = Ids()
     known.known = ids
-    for d in docs:
+    for d in docs():
         row = np.fromiter((known[t] for t in d), np.int64, len(d))
         for k in (1, 2):
             for a, b in ((row[k:], row[:-k]), (row[:-k], row[k:])):
@@ -137,7 +138,7 @@ def train(rows: list, vocabulary: int = 3_000) -> QualityModel:
     """From (doc_id, text, label) rows on the driver, a bounded number; one in five sets the temperature."""
     rows = sorted(rows, key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     texts, y = [r["text"] or "" for r in rows], np.array([float(r["label"]) for r in rows])
-    ids, vectors = learn_vectors([TOKEN.findall(t) for t in texts], vocabulary)
+    ids, vectors = learn_vectors(lambda: map(TOKEN.findall, texts), vocabulary)
     known = Ids()
     known.known = ids
     x = pooled(texts, known, vectors)

@@ -105,24 +105,22 @@ def summaries(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), np.log(top / (1 - top)) / 4, np.log1p(total), np.sqrt(total / np.maximum(lengths, 1))], 1)
 
 
-def fit_crf(docs: list[list[str]], tags: list[np.ndarray], lexicon: dict[str, float], rounds: int = 60, l2: float = 1e-3) -> ToxicityModel:
-    """Maximum likelihood of token tags by gradient ascent with momentum-free adaptive steps."""
+def fit_crf(docs: list[np.ndarray], words: list[str], tags: list[np.ndarray], lexicon: dict[str, float], rounds: int = 60, l2: float = 1e-3) -> ToxicityModel:
+    """Maximum likelihood of token tags by gradient ascent with adaptive steps. docs: positions in words of their tokens."""
     lengths = np.array([len(d) for d in docs], np.int64)
-    tokens = [t for d in docs for t in d]
     y = np.concatenate(tags) if tags else np.zeros(0)
-    kinds = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
-    ids = np.fromiter((kinds[t] for t in tokens), np.int64, len(tokens))
-    x = np.array([features(t, lexicon) for t in kinds]).reshape(len(kinds), 5)
-    h = np.fromiter((bucket(t) for t in kinds), np.int64, len(kinds))
+    ids = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    x = np.array([features(t, lexicon) for t in words]).reshape(len(words), 5)
+    h = np.fromiter((bucket(t) for t in words), np.int64, len(words))
     model = ToxicityModel(lexicon, np.zeros(BUCKETS), np.array([-3.0, 0.5, 0, 0, 0]), np.zeros((2, 2)), 0.0, np.array([-1.0, 1, 1, 0]))
-    if not tokens:
+    if not len(ids):
         return model
     at, starts, active = packed(lengths)
-    inside = np.ones(len(tokens), bool)
+    inside = np.ones(len(ids), bool)
     inside[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
     seen = np.bincount((y[:-1] * 2 + y[1:]).astype(int)[inside[1:]], minlength=4).reshape(2, 2)
     g_words, g_x, g_t = np.full(BUCKETS, 1e-6), np.full(5, 1e-6), np.full((2, 2), 1e-6)
-    n = len(tokens)
+    n = len(ids)
     for _ in range(rounds):
         u = np.clip(model.words[h] + x @ model.emission, -25, 25)
         e = np.empty(n)
@@ -133,7 +131,7 @@ def fit_crf(docs: list[list[str]], tags: list[np.ndarray], lexicon: dict[str, fl
         now, after = a[at][:-1][inside[1:]], (e * b)[at][1:][inside[1:]]
         w = np.stack([np.full_like(now, tr[0, 0]), tr[0, 1] * after, tr[1, 0] * now, tr[1, 1] * now * after])
         expected = (w / w.sum(0)).sum(1).reshape(2, 2)
-        rest = np.bincount(ids, weights=y - p, minlength=len(kinds)) / n
+        rest = np.bincount(ids, weights=y - p, minlength=len(words)) / n
         d_words = np.bincount(h, weights=rest, minlength=BUCKETS) - l2 * model.words / 100
         d_x, d_t = x.T @ rest - l2 * model.emission / 100, (seen - expected) / n - l2 * model.transition / 100
         for g, d, theta in ((g_words, d_words, model.words), (g_x, d_x, model.emission), (g_t, d_t, model.transition)):
@@ -171,25 +169,33 @@ def learn_lexicon(labelled: DataFrame, size: int) -> dict[str, float]:
     return {r["w"]: float(r["lo"]) for r in rows if r["z"] > 3.3 or r["z"] < -2}
 
 
-def train(labelled: DataFrame, sample: int = 12_000, chain_docs: int = 1_500, lexicon_size: int = 5_000) -> ToxicityModel:
+def train(labelled: DataFrame, sample: int = 12_000, chain_docs: int = 500, lexicon_size: int = 5_000) -> ToxicityModel:
     """Fit on labelled rows (doc_id, text, label): the lexicon on a bounded sample (``sample`` rows a class), the chain on ``chain_docs`` a class.
 
     Token labels come from the documents': a word of the lexicon that marks toxic documents is toxic in
     them. With no labelled rows the model is a prior that finds nothing.
     """
     labelled = labelled.where("label in (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    some = bounded_sample(labelled, "doc_id", sample, "label")
+    some = bounded_sample(labelled, "doc_id", sample, "label", "lexicon")
     lexicon = learn_lexicon(some, lexicon_size)
-    rows = bounded_sample(some, "doc_id", chain_docs, "label").select("text", "label").collect()
-    docs = [WORD.findall(r["text"] or "") for r in rows]
-    tags = [np.array([float(r["label"] and lexicon.get(t.lower(), 0) > 2) for t in d]) for r, d in zip(rows, docs)]
+    sampled = bounded_sample(some, "doc_id", chain_docs, "label", "chain").select("text", "label").toLocalIterator()
+    known: dict[str, int] = {}
+    kept, y = [], []
+    for r in sampled:  # one partition at a time; of a text, positions of its tokens stay
+        kept.append(np.array([known.setdefault(t, len(known)) for t in WORD.findall(r["text"] or "")], np.int32))
+        y.append(r["label"])
+    words = list(known)
+    marks = np.array([lexicon.get(w.lower(), 0) > 2 for w in words], bool)
+    tags = [marks[d].astype(float) * label for d, label in zip(kept, y)]
     # a toxic document without a word of the lexicon teaches the chain nothing
-    use = [k for k, r in enumerate(rows) if not r["label"] or tags[k].any()]
-    model = fit_crf([docs[k] for k in use], [tags[k] for k in use], lexicon)
-    if rows:
-        y = np.array([r["label"] for r in rows], float)
-        p, lengths = token_marginals([r["text"] for r in rows], model, Emissions(model))[:2]
-        model.calibration = fit_logistic(summaries(p, lengths), y)
+    use = [k for k, label in enumerate(y) if not label or tags[k].any()]
+    model = fit_crf([kept[k] for k in use], words, [tags[k] for k in use], lexicon)
+    if y:
+        emissions = Emissions(model)
+        u = np.array([emissions[w] for w in words])
+        lengths = np.array([len(d) for d in kept], np.int64)
+        p = marginals(u[np.concatenate(kept)], lengths, model)
+        model.calibration = fit_logistic(summaries(p, lengths), np.array(y, float))
     return model
 
 
