@@ -70,6 +70,15 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: Entries of a table that may be broadcast: some tens of MB. Beyond, joins shuffle.
+BROADCAST_ENTRIES = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, entries: int) -> DataFrame:
+    """df, marked for broadcast if what it holds, counted by the caller, is within BROADCAST_ENTRIES."""
+    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, group: str | None = None, salt: str = "sample") -> DataFrame:
     """About ``bound`` rows of df (of each value of ``group``), the same ones at each run: those whose hashed key is low. A sample of a sample needs another salt."""
     scale = 1 << 30

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, cut_lineage, table
+from .common import append_columns, broadcast_if_small, cut_lineage, table
 
 LENGTH = 400
 GRAM = 64
@@ -326,7 +326,7 @@ def list_contexts(docs: DataFrame) -> DataFrame:
 def read_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, c, context, wide) of the contexts in wanted (doc_id, t, h, c, start, n, wide), read from the texts again."""
     own = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "c", "start", "n", "wide")).alias("list"))  # as many as a text has
-    near = same_row(docs, own).select("text", "list")
+    near = same_row(docs, broadcast_if_small(own, wanted.count())).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,8 +363,9 @@ def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         marks = marks.unionByName(count_windows(read.where("wide").drop("wide")))
     at = rows.join(marks, ["h", "c"]).select("doc_id", "t", F.explode(F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] + LENGTH - 1).alias("b")))).alias("s"))
     # as many as a text has windows
-    covered = at.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    return same_row(docs, covered, "left").select("doc_id", "text", "spans")
+    covered = cut_lineage(at.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("s")).alias("spans")))
+    entries = covered.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return same_row(docs, broadcast_if_small(covered, entries), "left").select("doc_id", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
