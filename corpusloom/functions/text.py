@@ -27,6 +27,17 @@ def curation_text(text: Column) -> Column:
     return text
 
 
+def longest_run(values: Column) -> Column:
+    """How often the most frequent value stands in a sorted array; one pass."""
+    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, value: Column) -> Column:
+        run = F.when(acc["value"].eqNullSafe(value), acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(value.alias("value"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["most"])
+
+
 def quality_profile(text: Column, min_chars: int = 50, min_words: int = 10, max_symbols: float = 0.4, max_repeats: float = 0.3, max_short: float = 0.6) -> Column:
     """A struct: score, counts, ratios, rejection_reasons, review_flags. Symbols and repetition only flag; they never reject."""
     n = F.length(text)
@@ -35,8 +46,7 @@ def quality_profile(text: Column, min_chars: int = 50, min_words: int = 10, max_
     symbol_ratio = symbols / F.greatest(n, F.lit(1))
     lines = F.split(text, "\n")
     stripped = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
-    longest = F.array_max(F.transform(F.array_distinct(stripped), lambda s: F.size(F.filter(stripped, lambda o: o == s))))
-    repeats = F.when(F.size(lines) <= 1, 0.0).otherwise(F.coalesce(longest, F.lit(0)) / F.size(lines))
+    repeats = F.when(F.size(lines) <= 1, 0.0).otherwise(longest_run(F.array_sort(stripped)) / F.size(lines))
     alphabetic = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
     short = F.when(F.size(alphabetic) > 0, F.size(F.filter(alphabetic, lambda w: F.length(w) <= 2)) / F.size(alphabetic))
     reasons = F.array_compact(F.array(

@@ -59,6 +59,15 @@ def overlap_topk(queries: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame
     return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def overlap_matches(queries: DataFrame, texts: DataFrame, share: float = 0.7) -> DataFrame:
+    """(query_id, doc_id, overlap): texts that share this part of the smaller side's distinct words with a query; counted through a join on words, no pair is compared that shares none."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
+    q = queries.select("query_id", words("text").alias("ws")).select("query_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    d = texts.select("doc_id", words("text").alias("ws")).select("doc_id", F.size("ws").alias("m"), F.explode("ws").alias("w"))
+    met = d.join(q, "w").groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return met.where(F.col("overlap") >= share * F.least("n", "m")).select("query_id", "doc_id", "overlap")
+
+
 def recall_at_k(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """Share of gold (query_id, doc_id) among hits, and of hits that are gold."""
     right = hits.join(gold, ["query_id", "doc_id"], "left_semi").agg(F.count("*").alias("right"))

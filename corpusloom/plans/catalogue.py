@@ -1,21 +1,16 @@
-"""Registered queries over the driver's tables, with SQL that gives the same rows."""
+"""All registered queries over the driver's tables, with SQL that gives the same rows where there is such SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import event_queries, graph_queries, text_queries
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+PARTS = (text_queries.REG, graph_queries.REG, event_queries.REG)
 
 
-def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"curation_report": curation_report}
+def queries() -> dict[str, Query]:
+    return {name: run for part in PARTS for name, run in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"curation_report": "SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang"}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}

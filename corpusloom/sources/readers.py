@@ -76,7 +76,7 @@ def read_lines_leniently(spark: SparkSession, path: str) -> DataFrame:
 
 def reservoir(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, each as likely as any other and the same at each run."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")), 256), key).limit(n)
 
 
 def grow_by_links(links: DataFrame, start: DataFrame, target_degree: float, batch: int, limit: int, max_rounds: int = 20) -> DataFrame:
