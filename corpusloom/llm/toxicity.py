@@ -151,7 +151,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 5
 
 
 def learn_lexicon(labelled: DataFrame, size: int) -> dict[str, float]:
-    """Words whose presence sets toxic documents off, by smoothed log odds over distinct documents; near copies of one text count once.
+    """Smoothed log odds of words whose presence sets toxic documents off, chosen by likelihood ratio over distinct documents; near copies of one text count once.
 
     labelled: text, label. A copy is known by the least hash among its long words.
     """
@@ -163,10 +163,14 @@ def learn_lexicon(labelled: DataFrame, size: int) -> dict[str, float]:
     sizes = docs.agg(F.sum("label").alias("x"), F.count("*").alias("n")).first()
     toxic = float(sizes["x"] or 0)
     clean = float(sizes["n"] or 0) - toxic
-    lo = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    z = lo / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    rows = counts.select("w", lo.alias("lo"), z.alias("z")).orderBy(F.abs("z").desc(), "w").limit(size).collect()
-    return {r["w"]: float(r["lo"]) for r in rows if r["z"] > 3.3 or r["z"] < -2}
+    a, b = F.col("a"), F.col("b")
+    lo = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    of = lambda k, rate: part(k, (a + b) * max(rate, 1e-9))
+    share = toxic / max(toxic + clean, 1.0)
+    ratio = 2 * (of(a, share) + of(b, 1 - share))
+    rows = counts.select("w", lo.alias("lo"), ratio.alias("g")).where((F.col("g") > 20) & ((F.col("lo") > 2) | (F.col("lo") < -1))).orderBy(F.desc("g"), "w").limit(size).collect()
+    return {r["w"]: float(r["lo"]) for r in rows}
 
 
 def train(labelled: DataFrame, sample: int = 12_000, chain_docs: int = 500, lexicon_size: int = 5_000) -> ToxicityModel:
