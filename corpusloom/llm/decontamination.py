@@ -16,14 +16,15 @@ WIDTH = 5
 RADIUS = 23
 BLOCKS = 8
 SIMILARITY = 0.8
-#: Rows that may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 400_000
+#: Entries (rows, or what lies in a row's arrays) that may be broadcast; beyond, joins shuffle.
+BROADCAST_ENTRIES = 400_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its size, counted here, allows it."""
+def small(df: DataFrame, array: str | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows and the entries of its array column, counted here, allow it."""
     df = cut_lineage(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    entries = df.agg(F.sum(F.size(array) + 1 if array else F.lit(1))).first()[0] or 0
+    return F.broadcast(df) if entries <= BROADCAST_ENTRIES else df
 
 
 def words(text: Column) -> Column:
@@ -76,9 +77,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         hits = own.join(theirs, "h").select("row", "item_id", start.alias("start"))
         seen = hits if seen is None else seen.union(hits)
     # as many windows of a document as it has words, for each item
-    windows = small(seen.groupBy("row").agg(F.collect_set(F.struct("item_id", "start")).alias("windows")))
+    windows = small(seen.groupBy("row").agg(F.collect_set(F.struct("item_id", "start")).alias("windows")), "windows")
     there = docs.join(windows, "row").select("row", "doc_id", words(F.col("text")).alias("w"), "windows")
-    sizes = small(items)
+    sizes = small(items, "item_words")
     cut = there.dropDuplicates(["row"]).select("row", "doc_id", "w", F.explode("windows").alias("at")).select("row", "doc_id", "w", "at.*").join(sizes, "item_id")
     cut = cut.select("row", "doc_id", "item_id", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("own"), "item_words", "width")
     cut = cut.withColumn("own_shingles", shingles(F.col("own"), F.col("width"))).withColumn("item_shingles", shingles(F.col("item_words"), F.col("width")))
