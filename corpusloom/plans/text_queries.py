@@ -10,6 +10,7 @@ from ..functions.udfs import html_prose
 from ..operators import archive, chunk, curate, dedup, extract, relations, scoring
 from ..operators.similarity import set_similarity
 from ..sources.readers import bio_spans, documents_from, reservoir
+from .pipelines import GraphConfig, build_graph
 from .registry import Registry, table
 
 REG = Registry()
@@ -333,3 +334,13 @@ def curation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audited corpus's report by source: near duplicates count as rejected."""
     audit, _ = curate.curate(table(spark, sf_dir, "documents"))
     return curate.report(audit)
+
+
+@REG.query()
+def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to a graph, end to end: (kind, label, n) of its nodes and edges."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("").alias("title"), F.lit("").alias("url")).where("content is not null")
+    rules = spark.createDataFrame([(0, "works_at", "PERSON", "ORG", False), (1, "knows", "PERSON", "PERSON", True), (2, "partner_of", "ORG", "ORG", True)], "pos int, predicate string, domain string, range string, symmetric boolean")
+    built = build_graph(docs, gazetteer(spark, sf_dir), rules, GraphConfig(dedup="exact"))
+    nodes = built.nodes.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "label", "n")
+    return nodes.union(built.edges.select(F.explode("predicates").alias("p")).groupBy("p").agg(F.count("*").alias("n")).select(F.lit("edge"), "p", "n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT = "doc_id string, content string, source string, language string, title string, url string, metadata map<string,string>"
@@ -128,3 +128,40 @@ def topic_labels(rows: DataFrame, known: list[str]) -> DataFrame:
 
 #: Datasets by name: a function of (spark, path) that reads a local or shared copy. Nothing is downloaded.
 DATASETS = {"documents": read_documents, "graph": read_graph_json, "jsonl": read_lines_leniently}
+
+
+EXCLUDED_TITLES = ("List of ", "Lists of ", "Category:", "Template:", "Portal:", "File:", "Wikipedia:", "Help:")
+
+
+def title_url(title: Column, language: str = "en") -> Column:
+    """The address of an encyclopedia article."""
+    return F.concat(F.lit(f"https://{language}.wikipedia.org/wiki/"), F.replace(F.url_encode(F.replace(title, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")))
+
+
+def url_parts(url: Column) -> Column:
+    """struct<language, title> of such an address; nulls of any other."""
+    take = lambda k: F.nullif(F.regexp_extract(url, r"^https?://([a-z-]+)\.(?:m\.)?wikipedia\.org/wiki/([^?#]+)", k), F.lit(""))
+    return F.struct(take(1).alias("language"), F.replace(F.try_url_decode(take(2)), F.lit("_"), F.lit(" ")).alias("title"))
+
+
+def wanted_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """Pages (url) that a list of urls names, in their normal form."""
+    from ..functions.text import normal_url
+
+    keys = urls.select(normal_url(F.col("url")).alias("__key")).distinct()
+    return pages.withColumn("__key", normal_url(F.col("url"))).join(keys, "__key", "left_semi").drop("__key")
+
+
+def article_records(rows: DataFrame, language: str = "en", min_chars: int = 0) -> DataFrame:
+    """Records of raw articles (id, title, text, url, categories): those long enough whose titles aren't lists or of other namespaces."""
+    keep = (F.length("text") >= min_chars) & ~F.coalesce(F.col("title").rlike("^(" + "|".join(EXCLUDED_TITLES) + ")"), F.lit(False))
+    return rows.where(keep).select(
+        F.concat(F.lit(f"wikipedia:{language}:"), F.col("id").cast("string")).alias("id"), "text", "title", F.coalesce("url", title_url(F.col("title"), language)).alias("url"),
+        F.lit("wikipedia").alias("source"), F.lit(language).alias("language"), F.col("id").cast("string").alias("page_id"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+    )
+
+
+def add_links(records: DataFrame, links: DataFrame) -> DataFrame:
+    """Records with ``links``, sorted addresses from a link table (page_id, target); records without any get an empty list."""
+    own = links.groupBy("page_id").agg(F.array_sort(F.collect_set(title_url(F.col("target")))).alias("links"))
+    return records.join(own, "page_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))

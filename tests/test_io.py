@@ -132,3 +132,14 @@ def test_pipeline(spark, tmp_path):
     out = pipelines.next_run(spark, str(tmp_path))
     pipelines.write_manifest(spark, out, {"chunks": {"n": 3}}, pipelines.GraphConfig())
     assert out.endswith("run_1") and pipelines.next_run(spark, str(tmp_path)).endswith("run_2") and spark.read.json(f"{out}/manifest").count() == 1
+
+
+def test_articles(spark):
+    rows = spark.createDataFrame([(1, "Ada Lovelace", "long enough", None, None), (2, "List of x", "long enough", None, None), (3, "C/D", "no", None, None)], "id int, title string, text string, url string, categories array<string>")
+    got = readers.article_records(rows, min_chars=5).collect()
+    assert [(r.id, r.url, r.categories) for r in got] == [("wikipedia:en:1", "https://en.wikipedia.org/wiki/Ada_Lovelace", [])]
+    u = spark.createDataFrame([("https://fr.wikipedia.org/wiki/%C3%89cole_x#a",), ("https://example.org/wiki/Z",), (None,)], "url string")
+    assert [tuple(r.p) for r in u.select(readers.url_parts(F.col("url")).alias("p")).collect()] == [("fr", "École x"), (None, None), (None, None)]
+    assert readers.wanted_pages(u, spark.createDataFrame([("HTTPS://example.org/wiki/Z/",)], "url string")).count() == 1
+    linked = readers.add_links(readers.article_records(rows), spark.createDataFrame([("1", "B c"), ("1", "A/b")], "page_id string, target string"))
+    assert {r.page_id: r.links for r in linked.collect()} == {"1": ["https://en.wikipedia.org/wiki/A/b", "https://en.wikipedia.org/wiki/B_c"], "3": []}
