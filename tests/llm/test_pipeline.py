@@ -41,12 +41,13 @@ def test_stages_one_by_one(spark, sf):
 
 
 def test_toxic_documents_go(spark):
-    sf = "/root/testdata/sf0.01"  # 50 toxic documents to learn from, some of which are mislabelled; smaller tables have too few
+    """English has 36 toxic documents here, three of them without a toxic word. The other languages have four to six each, too few to learn their words from: those stay, as the README says."""
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in cp.drop_toxic(spark, docs, sf).collect()}
-    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
-    toxic, clean = {r.doc_id for r in labels if r.toxic}, {r.doc_id for r in labels if not r.toxic}
-    assert len(toxic & kept) <= 0.4 * len(toxic) and len(clean & kept) >= 0.99 * len(clean)
+    labels = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    english, clean = {r.doc_id for r in labels if r.toxic and r.lang == "en"}, {r.doc_id for r in labels if not r.toxic}
+    assert len(english & kept) <= 0.1 * len(english) and len(clean & kept) >= 0.99 * len(clean)
 
 
 def test_run_has_the_rows_of_the_last_stage(spark, sf):
