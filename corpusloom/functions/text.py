@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
@@ -27,6 +27,11 @@ def curation_text(text: Column) -> Column:
     return text
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column computed once a row: the optimizer puts an alias's expression in place of each use of it, but not that of an exploded array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def longest_run(values: Column) -> Column:
     """How often the most frequent value stands in a sorted array; one pass."""
     start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("run"), F.lit(0).alias("most"))

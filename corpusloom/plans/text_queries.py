@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, curation_text, deterministic_split, normal_url, quality_profile, sentences, urls_in, word_shingles, word_tokens
+from ..functions.text import bind, clean_text, curation_text, deterministic_split, normal_url, quality_profile, sentences, urls_in, word_shingles, word_tokens
 from ..functions.udfs import html_prose
 from ..operators import archive, chunk, curate, dedup, extract, relations, scoring
 from ..operators.similarity import set_similarity
@@ -319,7 +319,7 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lang, count(*) AS documents, cast(count_if(NOT good) AS BIGINT) AS rejected, cast(count_if(good AND NOT kept) AS BIGINT) AS duplicates, cast(count_if(kept) AS BIGINT) AS kept, cast(count_if(flags <> '') AS BIGINT) AS flagged, cast(coalesce(sum(words) FILTER (kept), 0) AS BIGINT) AS kept_words FROM dec GROUP BY lang""")
 def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents survive normalising, quality profiling and exact deduplication, by language."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", curation_text(F.coalesce("text", F.lit(""))).alias("content"))
+    docs = bind(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "content", curation_text(F.coalesce("text", F.lit(""))))
     p = docs.select("doc_id", "lang", F.sha2("content", 256).alias("digest"), quality_profile(F.col("content")).alias("p")).select("doc_id", "lang", "digest", (F.size("p.rejection_reasons") == 0).alias("good"), (F.size("p.review_flags") > 0).alias("flagged"), F.col("p.word_count").alias("words"))
     first = p.where("good").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept"))
     d = p.join(first, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
