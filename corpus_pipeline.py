@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontamination, mixing, secrets, simhash_dedup, toxicity
+from corpusloom.llm import decontamination, mixing, secrets, shingle_dedup, toxicity
 from corpusloom.llm.common import cut_lineage, table
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_first(docs)
+    return shingle_dedup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,165 @@
+"""Near copies by their word shingles: Jaccard coefficient of SIMILARITY or more, no pair missed.
+
+A set of n shingles is listed under its first n - ceil(SIMILARITY n) + 1 in one order of all shingles; two
+sets that are similar enough share one of these. The order is by how often a shingle stands in a sample and
+then by hash: the sample decides how much is compared, not what is found. Sets under one shingle are first
+compared with the least of them; pairs that this has joined already aren't compared again, so a group
+of near copies costs its members and not its pairs. Shingles are known by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.components import connected_components
+from .common import append_columns, cut_lineage
+from .simhash_dedup import signed
+
+WIDTH = 5
+SIMILARITY = 0.8
+#: Sets whose shingles are counted to tell common ones from rare ones, and from which count on one is common.
+SAMPLE, COMMON = 20_000, 3
+
+
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of runs of ``width`` words, sorted; fewer words are one run, no words none."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    runs = [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, 42) for r in runs], np.uint64).view(np.int64))
+
+
+def least_common(n: int, similarity: float) -> int:
+    return math.ceil(similarity * n - 1e-9)
+
+
+def with_shingles(docs: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(doc_id, key, hashes); key is a digest of the set."""
+
+    def start():
+        def apply(texts: list) -> list:
+            sets = [shingle_hashes(t, width) for t in texts]
+            return [[signed(int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "big")) for s in sets], sets]
+
+        return apply
+
+    fields = [T.StructField("key", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))]
+    return append_columns(docs.select("doc_id", F.col(text_col).alias("text")), ["text"], fields, start).select("doc_id", "key", "hashes")
+
+
+def listed(sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, key, n) of the first tokens of each set."""
+    total = sets.count()
+    scale = 1 << 30
+    some = sets if total <= SAMPLE else sets.where(F.pmod(F.xxhash64("key"), F.lit(scale)) < int(scale * SAMPLE / total))
+    counts = some.select(F.explode("hashes").alias("token")).groupBy("token").count().where(F.col("count") >= COMMON).toPandas()  # of a sample of fixed size
+    counts = counts.sort_values("token")
+    known = sets.sparkSession.sparkContext.broadcast((counts["token"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, often = known.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out, keys, sizes = [], [], []
+                for key, hashes in zip(b.column(0)[at : at + 256].to_pylist(), b.column(1)[at : at + 256]):
+                    h = hashes.values.to_numpy()
+                    if not len(h):
+                        continue
+                    k = np.searchsorted(tokens, h)
+                    k[k == len(tokens)] = 0
+                    df = np.where(tokens[k] == h, often[k], 0) if len(tokens) else np.zeros(len(h), np.int64)
+                    first = h[np.lexsort((h, df))[: len(h) - least_common(len(h), similarity) + 1]]
+                    out.append(first)
+                    keys.append(np.full(len(first), key, np.int64))
+                    sizes.append(np.full(len(first), len(h), np.int32))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, keys, sizes)], names=["token", "key", "n"])
+
+    return sets.select("key", "hashes").mapInArrow(run, "token long, key long, n int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of pairs that are similar enough."""
+    one, two = sets.select(F.col("key").alias("a"), F.col("hashes").alias("s1")), sets.select(F.col("key").alias("b"), F.col("hashes").alias("s2"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("s1") + F.size("s2")).alias("sum"), F.size(F.array_intersect("s1", "s2")).alias("common"))
+    return both.where(F.col("common") >= similarity * (F.col("sum") - F.col("common")) - 1e-9).select("a", "b")
+
+
+def across(similarity: float):
+    """Rows (token, key, n, component) sorted by token to pairs (a, b) of different components under one token whose sizes fit."""
+
+    def pairs(key: np.ndarray, n: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, which = np.unique(component, return_inverse=True)
+        if len(names) < 2:
+            return
+        outside = which != np.bincount(which).argmax()
+        place = np.arange(len(key))
+        for i in np.flatnonzero(outside):
+            fits = (which != which[i]) & ~(outside & (place <= i)) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9)
+            if fits.any():
+                other = key[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, key[i])), pa.array(np.maximum(other, key[i]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        made, size = [], 0
+        for b in batches:
+            columns = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, b.columns)]
+            if not len(columns[0]):
+                continue
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(columns[0])) + 1))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                for p in pairs(*(c[lo:hi] for c in columns[1:])):
+                    made.append(p)
+                    size += p.num_rows
+                    if size > 10_000:
+                        yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+                        made, size = [], 0
+            held = [c[cuts[-1] :] for c in columns]
+        if len(held[0]):
+            made += pairs(*held[1:])
+        yield from pa.Table.from_batches(made).combine_chunks().to_batches() if made else ()
+
+    return run
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links of distinct sets (key, hashes) that join up all that are similar enough."""
+    first = cut_lineage(listed(sets, similarity))
+    shared = first.groupBy("token").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("df")).where("df > 1").select("token", "least")
+    shared = cut_lineage(first.join(shared, "token").select("token", "key", "n", F.col("least.key").alias("least"), F.col("least.n").alias("least_n")))
+    fits = F.least("n", "least_n") >= similarity * F.greatest("n", "least_n") - 1e-9
+    stars = cut_lineage(shared.where((F.col("key") != F.col("least")) & fits).select(F.col("least").alias("a"), F.col("key").alias("b")).distinct())
+    near = cut_lineage(verified(stars, sets, similarity))
+    joined = shared.join(connected_components(near).withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("component"))
+    rest = joined.repartition("token").sortWithinPartitions("token").mapInArrow(across(similarity), "a long, b long").distinct()
+    return near.union(verified(rest.join(stars, ["a", "b"], "left_anti"), sets, similarity))
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row of docs: the least doc_id among documents reached through pairs of similar sets.
+
+    Texts without words, null ones too, are copies of each other only. A null doc_id is in no competition for the least.
+    """
+    own = cut_lineage(with_shingles(docs, width, text_col))
+    sets = cut_lineage(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("hashes").alias("hashes")))
+    found = connected_components(similar_links(sets.select("key", "hashes"), similarity)).withColumnRenamed("id", "key")
+    named = sets.select("key", "least").join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "key").join(named.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without all but the first (least doc_id) of each group of near copies; of rows that share its id, one stays. Rows without an id stay."""
+    kept = near_copies(docs, text_col=text_col).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,56 @@
+import random
+
+import corpus_pipeline as cp
+from corpusloom.llm import shingle_dedup as sd
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(docs):
+    """The first of each group, by comparing all pairs of 5-word shingle sets."""
+    sets = {d: shingles(t) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) - 1e-9):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d for d in ids if find(d) == d}
+
+
+def test_stage_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, sf).collect()}
+    assert kept == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_edits_and_edges(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SAMPLE", 30)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(900)}" for _ in range(n)] for n in (12, 40, 90, 250)]
+    texts = []
+    for w in base:
+        for k in range(20):
+            x = list(w)
+            for _ in range(k % 6):
+                x[rng.randrange(len(x))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(x))
+    # a passage that many different texts hold
+    texts += [" ".join(base[2]) + " " + " ".join(f"u{k}x{j}" for j in range(200 + k)) for k in range(15)]
+    docs = list(enumerate([*texts, "", None, "one two", "ONE two"]))
+    df = spark.createDataFrame([*docs, (None, "one two")], "doc_id long, text string")
+    kept = sd.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*brute(docs), None], key=str)
+    assert sd.near_copies(df.limit(0)).count() == 0
