@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Similarity of 0.8 or more needs a common shingle, so windows are laid where a document shares one with
-an item, aligned to it. A window's SimHash is looked up by blocks: of 8 blocks of 8 bits, fingerprints
+Similarity of 0.8 or more needs 8 of 9 shingles in common, so windows are laid at every start from which one
+holds as many shingles of its item, in whatever order they stand there. A window's SimHash is looked up by blocks: of 8 blocks of 8 bits, fingerprints
 within 23 bits have one that differs in 2 bits at most, and each item is listed under all such blocks.
 """
 
@@ -55,6 +55,21 @@ def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).withColumn("n", F.size("item_words")).where("n > 0").distinct().withColumn("width", F.least("n", F.lit(WIDTH)))
 
 
+def window_starts() -> Column:
+    """Starts of all windows with enough places (column ats, sorted) of shared shingles; columns n and width are the item's, size the document's.
+
+    Of a window's shingles and the item's, a + b, at least (a + b) s / (1 + s) must be common.
+    """
+    own = F.least("n", "size") - F.col("width") + 1
+    need = F.ceil((own + F.col("n") - F.col("width") + 1) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
+    last = lambda i: F.get("ats", i + need - 1)
+    at = lambda i: F.get("ats", i)
+    inside = lambda s: F.greatest(F.lit(0), F.least(s, F.col("size") - F.col("n")))
+    opens = F.filter(F.sequence(F.lit(0), F.size("ats") - need), lambda i: last(i) - at(i) < own)
+    starts = F.flatten(F.transform(opens, lambda i: F.transform(F.sequence(last(i) - own + 1, at(i)), inside)))
+    return F.when(F.size("ats") >= need, F.array_distinct(starts)).otherwise(F.array().cast("array<int>"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each document and item that match.
 
@@ -73,11 +88,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         theirs = small(theirs.select("item_id", "n", F.posexplode(shingle_hashes(theirs, width)).alias("item_at", "h")))
         own = hashed(docs.select("row", words(F.col("text")).alias("w")), F.col("w")).select("row", "hashes")
         own = own.select("row", F.size("hashes").alias("size"), F.posexplode(shingle_hashes(own, width)).alias("at", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("size") - F.col("n")))
-        hits = own.join(theirs, "h").select("row", "item_id", start.alias("start"))
+        hits = own.join(theirs, "h").select("row", "item_id", "n", "size", F.lit(width).alias("width"), "at")
         seen = hits if seen is None else seen.union(hits)
+    places = seen.groupBy("row", "item_id", "n", "size", "width").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    starts = places.select("row", "item_id", F.explode(window_starts()).alias("start"))
     # as many windows of a document as it has words, for each item
-    windows = small(seen.groupBy("row").agg(F.collect_set(F.struct("item_id", "start")).alias("windows")), "windows")
+    windows = small(starts.groupBy("row").agg(F.collect_set(F.struct("item_id", "start")).alias("windows")), "windows")
     there = docs.join(windows, "row").select("row", "doc_id", words(F.col("text")).alias("w"), "windows")
     sizes = small(items, "item_words")
     cut = there.dropDuplicates(["row"]).select("row", "doc_id", "w", F.explode("windows").alias("at")).select("row", "doc_id", "w", "at.*").join(sizes, "item_id")

@@ -81,3 +81,17 @@ def test_blocks_cover_the_radius(spark):
         rows.append((k, k, 0, a - (a >> 63 << 64), b - (b >> 63 << 64)))
     df = spark.createDataFrame(rows, "row long, item_id long, start int, own_fp long, item_fp long")
     assert {r.row for r in dc.block_matches(df).collect()} == set(range(60))
+
+
+def test_reordered_items_are_found(spark):
+    """Halves, thirds and sentences in another order, inside long documents and as whole ones."""
+    w = [f"w{k}" for k in range(120)]
+    items, docs = [], []
+    for n in (12, 40, 59, 60, 120):
+        items.append((n, " ".join(w[:n])))
+        own = w[:n]
+        for k, x in enumerate([own[n // 2 :] + own[: n // 2], own[2 * n // 3 :] + own[n // 3 : 2 * n // 3] + own[: n // 3], own[n // 2 :] + ["new"] + own[: n // 2], own[: n - n // 12]]):
+            docs += [(1000 * n + 10 * k, " ".join(["a"] * 300 + x + ["b"] * 300)), (1000 * n + 10 * k + 1, " ".join(x))]
+    found = {(r.doc_id, r.item_id): r.similarity for r in dc.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute(docs, items)
+    assert (60000, 60) in found and (40000, 40) in found
