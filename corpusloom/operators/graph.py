@@ -104,7 +104,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_roun
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, component): nodes without an edge in or out among those left are their own; the rest are coloured forward by the least id that reaches them, and what reaches a colour's root within the colour is a component."""
+    """(id, component): nodes without an edge in or out among those left are their own; the rest are coloured forward by the first node in hashed order that reaches them, and what reaches a colour's root within the colour is a component, named by its least id.
+
+    A colour yields one component a round; in hashed order a chain of components ends in about as many rounds as its length has digits in base 2, whatever their ids.
+    """
     left = cut(nodes.select("id").distinct())
     links = cut(edges.select("subject", "object").where("subject <> object").distinct())
     done = None
@@ -118,16 +121,19 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100)
             left = cut(left.join(single, "id", "left_anti"))
             links = cut(links.join(left.select(F.col("id").alias("subject")), "subject", "left_semi").join(left.select(F.col("id").alias("object")), "object", "left_semi"))
         if not left.limit(1).count():
-            break
-        color = spread(left.select("id", F.col("id").alias("color")), links, "subject", "object")
+            return done if done is not None else nodes.select("id", F.col("id").alias("component"))
+        color = spread(left.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("root")).alias("color")), links, "subject", "object")
         c1, c2 = color.select(F.col("id").alias("subject"), F.col("color").alias("x")), color.select(F.col("id").alias("object"), F.col("color").alias("y"))
         same = cut(links.join(c1, "subject").join(c2, "object").where("x = y").select("subject", "object"))
-        back = reach(color.where("id = color").select("id"), same, "object", "subject")
-        found = cut(color.join(back, "id", "left_semi").select("id", F.col("color").alias("component")))
+        back = reach(color.where("id = color.root").select("id"), same, "object", "subject")
+        held = color.join(back, "id", "left_semi").select("id", F.col("color.root").alias("root"))
+        found = cut(held.join(held.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component"))
         done = found if done is None else done.union(found)
         left = cut(left.join(found, "id", "left_anti"))
         links = cut(links.join(left.select(F.col("id").alias("subject")), "subject", "left_semi").join(left.select(F.col("id").alias("object")), "object", "left_semi"))
-    return done if done is not None else nodes.select("id", F.col("id").alias("component"))
+    if left.limit(1).count():
+        raise RuntimeError(f"strong components are still left after {max_rounds} rounds")
+    return done
 
 
 def spread(color: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
