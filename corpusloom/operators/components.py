@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names. Without it, a local master takes a temporary folder; a cluster, whose machines don't share one, is refused."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the session's shared checkpoint folder; loops build on the written rows, not on a growing plan."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
