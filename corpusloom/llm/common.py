@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,16 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder where spark.checkpoint.dir names one; a temporary folder only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+    """The cluster's shared folder that spark.checkpoint.dir names; a temporary folder only where all tasks run in the driver, and where it is unset."""
+    shared_folder(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -36,8 +35,9 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], start: Callable[[], Callable[..., list]]) -> DataFrame:
     """df with the columns of ``fields``, which replace columns of the same name.
 
-    start() runs once a partition and returns a function that takes the input columns of a batch as
-    Python lists and returns one list a field. Batches stream: memory follows the batch, not the partition.
+    start() runs once a partition and returns a function that takes the input columns of some rows as
+    Python lists and returns one list a field. Rows stream in slices of SLICE_BYTES: memory follows the
+    slice (or its longest row), not the batch or the partition.
     """
     names = {f.name for f in fields}
     keep = [f for f in df.schema.fields if f.name not in names]
@@ -51,9 +51,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
 
         apply = start()
         types = [to_arrow_type(f.dataType) for f in fields]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches, len(kept)):
             made = apply(*(batch.column(len(kept) + k).to_pylist() for k in range(len(own))))
             arrays = [batch.column(k) for k in range(len(kept))] + [pa.array(v, type=t) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
@@ -61,6 +59,23 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     return source.mapInArrow(run, out)
 
 
+#: Bytes of input columns that are Python objects at a time.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], first: int = 0, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices whose columns from ``first`` on take about ``limit`` bytes; a longer row is a slice by itself."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and sum(part.column(k).nbytes for k in range(first, part.num_columns)) > limit:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+
+
 def kept_columns(df: DataFrame, names: list[str]) -> list[Column]:
     return [df[f"`{c}`"] for c in names]
 

@@ -6,32 +6,35 @@ are compared as wholes first: those with copies elsewhere are repeated throughou
 those whose anchor other contexts have too are read: they are dealt by anchor into shards. A shard's
 suffix array is sorted by Larsson-Sadakane refinement, common prefixes come from Kasai's walk, run over
 all contexts in step, and an anchor's contexts that fill several shards are merged by binary search of
-each shard's windows in the others. An anchor with more contexts than that is worth is counted by window
-hash over the cluster instead, with the same result.
+each shard's windows in the others. An anchor with more than HOT contexts is counted by 128-bit window
+hashes over the cluster instead, with the same result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, broadcast_if_small, cut_lineage, table
+from .common import append_columns, broadcast_if_small, cut_lineage, slices, table
 
 LENGTH = 400
 GRAM = 64
 SPAN = LENGTH - GRAM + 1
 #: Windows hashed at once; shard bytes; contexts of one anchor that are compared by suffix arrays.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 SHARD = 1 << 20
 PIECE = 1 << 18
 HOT = 5_000
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+BASE = 0x9E3779B97F4A7C15
+#: Windows of a piece that are copied out at a time when pieces are merged.
+BLOCK = 1 << 14
 
 
 class Rolling:
@@ -186,18 +189,29 @@ class Shard:
         self.marked = np.zeros(len(self.text), bool)
         self.marked[self.order[twice]] = True
 
-    def windows(self) -> np.ndarray:
-        return np.lib.stride_tricks.as_strided(self.text, (len(self.text) - LENGTH + 1, LENGTH), (1, 1))[self.order].view(f"S{LENGTH}").ravel()
+    def windows(self, low: int, high: int) -> np.ndarray:
+        """The windows at places low to high of the order, copied out."""
+        return np.lib.stride_tricks.as_strided(self.text, (len(self.text) - LENGTH + 1, LENGTH), (1, 1))[self.order[low:high]].view(f"S{LENGTH}").ravel()
+
+    def bounds(self, first: bytes, last: bytes) -> tuple[int, int]:
+        """Places of the order between which its windows are from first to last."""
+        at = lambda k: self.text[k : k + LENGTH].tobytes().rstrip(b"\0")  # as numpy compares byte strings
+        return bisect.bisect_left(self.order, first, key=at), bisect.bisect_right(self.order, last, key=at)
 
     def merge(self, other: Shard) -> None:
-        """Marks the windows that both have; each of this shard's is looked up in the other's order."""
-        mine, theirs = self.windows(), other.windows()
-        low, high = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
-        self.marked[self.order[high > low]] = True
-        edge = np.zeros(len(theirs) + 1, np.int64)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high, -1)
-        other.marked[other.order[np.cumsum(edge[:-1]) > 0]] = True
+        """Marks the windows that both have; this shard's are looked up in the other's order, block by block of both."""
+        for at in range(0, len(other.order), BLOCK):
+            theirs = other.windows(at, at + BLOCK)
+            low, high = self.bounds(bytes(theirs[0]), bytes(theirs[-1]))
+            for begin in range(low, high, BLOCK):
+                end = min(begin + BLOCK, high)
+                mine = self.windows(begin, end)
+                left, right = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
+                self.marked[self.order[begin:end][right > left]] = True
+                edge = np.zeros(len(theirs) + 1, np.int64)
+                np.add.at(edge, left, 1)
+                np.add.at(edge, right, -1)
+                other.marked[other.order[at : at + BLOCK][np.cumsum(edge[:-1]) > 0]] = True
 
     def found(self) -> list[tuple]:
         out = []
@@ -260,7 +274,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece.sort()
         return piece
 
-    for b in batches:
+    for b in slices(batches):
         for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if row[0] != last:
                 yield from end_group()
@@ -276,21 +290,30 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c, context) to a row for each window: its number and 128 bits of hash."""
-    one, two = (Rolling(base, 4 * LENGTH) for base in BASES)
-    for b in batches:
+    """Rows (h, c, context) to a row for each window: its number and 128 bits of its XXH3."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    for b in slices(batches):
         for h, c, context in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            data = np.frombuffer(context, np.uint8)
-            x, y = one(data, LENGTH), two(data, LENGTH)
-            n = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["h", "c", "o", "x", "y"])
+            view, n = memoryview(context), len(context) - LENGTH + 1
+            hashes = pa.array([digest(view[k : k + LENGTH]) for k in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32)), hashes], names=["h", "c", "o", "x"])
 
 
 def count_windows(read: DataFrame) -> DataFrame:
     """(h, c, spans) like compare(), by counting window hashes: for anchors with very many contexts."""
-    rows = cut_lineage(read.mapInArrow(hash_windows, "h long, c long, o int, x long, y long"))
-    twice = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    return rows.join(twice, ["x", "y"]).select("h", "c", F.array(F.struct(F.col("o").alias("a"), (F.col("o") + 1).alias("b"))).alias("spans"))
+    rows = cut_lineage(read.mapInArrow(hash_windows, "h long, c long, o int, x binary"))
+    twice = rows.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    found = rows.join(twice, "x").groupBy("h", "c").agg(F.array_sort(F.collect_set("o")).alias("os"))  # a context has SPAN windows at most
+    return found.select("h", "c", joined(F.transform("os", lambda o: F.struct(o.alias("a"), (o + 1).alias("b")))).alias("spans"))
+
+
+def joined(spans: Column) -> Column:
+    """Spans in order of their starts, those that overlap or touch made one."""
+    last = lambda acc: F.element_at(acc, -1)
+    step = lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= F.get(acc, F.size(acc) - 1)["b"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(spans, F.array().cast(SPANS), step)
 
 
 def list_contexts(docs: DataFrame) -> DataFrame:
@@ -300,7 +323,7 @@ def list_contexts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        rolling = Rolling(BASES[0], CHUNK + LENGTH)
+        rolling = Rolling(BASE, CHUNK + LENGTH)
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             rows, found, cs = [], [], []
@@ -329,7 +352,7 @@ def read_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     near = same_row(docs, broadcast_if_small(own, wanted.count())).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             for text, items in zip(b.column(0), b.column(1).to_pylist()):
                 view = memoryview(text.as_buffer())
                 yield pa.RecordBatch.from_arrays([
@@ -352,8 +375,10 @@ def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.encode(text_col, "UTF-8").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = cut_lineage(list_contexts(docs))
     one = F.min(F.struct("doc_id", "t", "start", "n")).alias("one")
-    classes = rows.groupBy("h", "c").agg(F.count("*").alias("copies"), one).withColumn("kinds", F.count("*").over(Window.partitionBy("h")))
-    classes = cut_lineage(classes.where("copies > 1 or kinds > 1"))
+    classes = rows.groupBy("h", "c").agg(F.count("*").alias("copies"), one)
+    # counted by partial sums: no task gets all contexts of an anchor
+    shared = rows.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    classes = cut_lineage(classes.join(shared, "h", "left").select("h", "c", "copies", "one", F.coalesce("kinds", F.lit(1).cast("long")).alias("kinds")).where("copies > 1 or kinds > 1"))
     wanted = classes.where("kinds > 1").select("one.*", "h", "c", (F.col("kinds") > HOT).alias("wide"))
     read = read_contexts(docs, wanted)
     some = read.where("not wide").drop("wide").repartition("h").sortWithinPartitions("h", "c").mapInArrow(compare, MARKS)
