@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Heads and tails of control strings, of this template and of others; between them, one more % escapes, one less reverts.
@@ -28,20 +28,41 @@ def unescape(text: str) -> str:
     return REVERT.sub(lambda m: f"{m[1] or m[3]}{m[2] if m[1] else m[4]}", text)
 
 
+PLACEHOLDER = re.compile(r"<\|(image|audio|document|unknown)_(\d+)\|>")
+FORMATTED = re.compile(rf"{re.escape(TURN)}(.*?){re.escape(BODY)}(.*?){re.escape(END)}", re.S)
+
+
 class PartVisitor:
-    """Flattens one turn's parts: text as it is (escaped), other parts as numbered placeholders with references and token counts."""
+    """Flattens one turn's parts: text (escaped) and, for other parts, numbered placeholders with references and token counts.
+
+    Neighbouring text parts are one run and escaped as one, so that no control string arises where they meet.
+    """
 
     def __init__(self, pixels_a_token: int = 784, tokens_a_second: float = 12.5, tokens_a_page: int = 256):
         self.pixels_a_token, self.tokens_a_second, self.tokens_a_page = pixels_a_token, tokens_a_second, tokens_a_page
+        self.visitors = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
 
-    def visit_all(self, parts: list[dict]) -> tuple[str, list[dict]]:
-        self.out, self.attachments = [], []
+    def flatten(self, parts: list[dict | None] | None) -> tuple[str, list[dict], list[dict]]:
+        """(body, attachments, spans of the body's texts)"""
+        self.out, self.run, self.size, self.attachments, self.texts = [], [], 0, [], []
         for part in parts or ():
-            getattr(self, f"visit_{(part or {}).get('type')}", self.visit_unknown)(part or {})
-        return "".join(self.out), self.attachments
+            part = part or {}
+            self.visitors.get(part.get("type"), self.visit_unknown)(part)
+        self.end_run()
+        return "".join(self.out), self.attachments, self.texts
+
+    def put(self, text: str) -> None:
+        self.out.append(text)
+        self.size += len(text)
+
+    def end_run(self) -> None:
+        text, self.run = escape("".join(self.run)), []
+        if text:
+            self.texts.append({"start": self.size, "end": self.size + len(text)})
+            self.put(text)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.run.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         self.attach("image", part, math.ceil((part.get("width") or 0) * (part.get("height") or 0) / self.pixels_a_token))
@@ -56,38 +77,41 @@ class PartVisitor:
         self.attach("unknown", part, 0)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.end_run()
         n = len(self.attachments)
-        self.out.append(f"<|{kind}_{n}|>")
+        self.put(f"<|{kind}_{n}|>")
         self.attachments.append({"seq": n, "kind": kind, "ref": part.get("ref"), "tokens": max(1, tokens)})
 
 
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+SPANS = "array<struct<start:int,end:int>>"
 ATTACHMENTS = "array<struct<seq:int,kind:string,ref:string,tokens:int>>"
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parts) to (conv_id, turn, role, piece, loss_start, loss_end, attachments), a row a turn, without a shuffle.
+    """(conv_id, turn, role, parts) to (conv_id, turn, role, piece, loss, attachments), a row a turn, without a shuffle.
 
-    A conversation's formatted text is its pieces in order of turn. loss_start and loss_end bound what
-    counts for the loss within the piece, in code points: the body of an assistant's turn, else nothing.
-    Null roles and parts count as empty; parts of an unknown type become placeholders of that name.
+    A conversation's formatted text is its pieces in order of turn. loss has the spans of the piece that
+    count for the loss, in code points: the texts of an assistant's turn, placeholders left out, else none.
+    Null roles and parts count as empty; parts of an unknown or null type become placeholders of that name.
+    Rows that repeat a turn are formatted alike; other columns are left aside; an empty table gives none. A
+    turn is held in memory as a whole, however long, and little else.
     """
-    schema = T.StructType([T.StructField(n, turns.schema[n].dataType) for n in ("conv_id", "turn", "role")]).add("piece", "string").add("loss_start", "integer").add("loss_end", "integer").add("attachments", T._parse_datatype_string(ATTACHMENTS))
+    schema = T.StructType([T.StructField(n, turns.schema[n].dataType) for n in ("conv_id", "turn", "role")]).add("piece", "string").add("loss", T._parse_datatype_string(SPANS)).add("attachments", T._parse_datatype_string(ATTACHMENTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        visitor, attached = PartVisitor(), to_arrow_type(schema["attachments"].dataType)
-        for b in batches:
-            pieces, starts, ends, files = [], [], [], []
+        visitor, spans, attached = PartVisitor(), to_arrow_type(schema["loss"].dataType), to_arrow_type(schema["attachments"].dataType)
+        for b in slices(batches, 2):
+            pieces, losses, files = [], [], []
             for role, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                body, found = visitor.visit_all(parts)
+                body, found, texts = visitor.flatten(parts)
                 head = f"{TURN}{escape(role or '')}{BODY}"
                 pieces.append(f"{head}{body}{END}")
-                starts.append(len(head))
-                ends.append(len(head) + len(body) * (role == "assistant"))
+                losses.append([{"start": len(head) + t["start"], "end": len(head) + t["end"]} for t in texts] if role == "assistant" else [])
                 files.append(found)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(pieces, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(files, attached)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(pieces, pa.string()), pa.array(losses, spans), pa.array(files, attached)], names=schema.names)
 
     return turns.select("conv_id", "turn", "role", "parts").mapInArrow(run, schema)
 
@@ -98,17 +122,66 @@ def text_parts(turns: DataFrame, text_col: str = "text") -> DataFrame:
     return turns.select("conv_id", "turn", "role", F.array(part).alias("parts"))
 
 
-def read_piece(piece: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn of text parts."""
-    head, _, rest = piece.partition(BODY)
-    return unescape(head.removeprefix(TURN)), unescape(rest.removesuffix(END))
+class Reader:
+    """Parses a formatted conversation by its marks, as its text comes in, in whatever portions."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, text: str) -> Iterator[tuple[str, list[str | tuple[str, int]]]]:
+        """(role, contents) of each turn that ends in what has come in; contents are texts and (kind, number) of placeholders."""
+        self.rest += text
+        at = 0
+        while m := FORMATTED.match(self.rest, at):
+            at = m.end()
+            yield unescape(m[1]), contents(m[2])
+        self.rest = self.rest[at:]
+        if self.rest and not TURN.startswith(self.rest[: len(TURN)]):
+            raise ValueError(f"no turn starts at {self.rest[:40]!r}")
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError(f"a turn isn't ended: {self.rest[:40]!r}")
+
+
+def contents(body: str) -> list[str | tuple[str, int]]:
+    out, at = [], 0
+    for m in PLACEHOLDER.finditer(body):
+        out += [unescape(body[at : m.start()])] if m.start() > at else []
+        out.append((m[1], int(m[2])))
+        at = m.end()
+    return out + ([unescape(body[at:])] if at < len(body) else [])
+
+
+class Digest:
+    """What a reader gets back of one conversation."""
+
+    def __init__(self, conv):
+        self.conv, self.reader, self.turns, self.loss = conv, Reader(), hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = 0
+
+    def add(self, piece: str, loss: list[dict]) -> None:
+        self.chars += len(piece)
+        for span in loss:
+            text = unescape(piece[span["start"] : span["end"]])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        for role, found in self.reader.feed(piece):
+            text = "".join(x for x in found if isinstance(x, str))
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+
+    def row(self) -> tuple:
+        self.reader.close()
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def digest_conversations(pieces: DataFrame) -> DataFrame:
-    """Per conversation, what a reader of the formatted text gets back.
+    """Per conversation, what a reader of its formatted text gets back: turns, roles and texts by the template's marks, losses by the mask.
 
-    Pieces are dealt by conversation and sorted within partitions; digests are updated as pieces pass,
-    so no conversation is ever held in memory. Turns that tie are ordered by piece.
+    Pieces are dealt by conversation and sorted within partitions; the reader takes them as one stream, so
+    only the turn that is being read is held in memory. Turns that tie are ordered by piece, so repeated rows
+    are read as often; a null conv_id is a conversation; an empty table gives no row.
     """
     fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = T.StructType([T.StructField("conv_id", pieces.schema["conv_id"].dataType), *T._parse_datatype_string(fields).fields])
@@ -117,33 +190,21 @@ def digest_conversations(pieces: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in schema.fields]
-        state, done = None, []
-
-        def flush():
-            rows, done[:] = list(zip(*done)), []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=schema.names)
-
-        close = lambda s: (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5])
-        for b in batches:
-            for conv, piece, a, z in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        done.append(close(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_piece(piece)
-                loss = unescape(piece[a:z])
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-                state[5] += len(piece)
+        one: Digest | None = None
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=schema.names)
+        for b in slices(batches, 1):
+            done = []
+            for conv, piece, loss in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if one is None or one.conv != conv:
+                    done += [one.row()] if one else []
+                    one = Digest(conv)
+                one.add(piece, loss)
             if done:
-                yield flush()
-        if state is not None:
-            done.append(close(state))
-            yield flush()
+                yield flush(done)
+        if one:
+            yield flush([one.row()])
 
-    dealt = pieces.select("conv_id", "piece", "loss_start", "loss_end", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
+    dealt = pieces.select("conv_id", "piece", "loss", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece")
     return dealt.drop("turn").mapInArrow(run, schema)
 
 

@@ -1,6 +1,10 @@
 import hashlib
 import random
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from corpusloom.llm import chat as ch
 
 
@@ -30,7 +34,7 @@ def test_parts(spark):
     r = rows[1, 0]
     assert r.piece == "<|turn|>user<|body|>see <%|end|><|image_0|><|audio_1|><|document_2|><|unknown_3|><|unknown_4|><|end|>"
     assert [(a.seq, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 100), (1, "audio", "b.wav", 25), (2, "document", "c.pdf", 768), (3, "unknown", None, 1), (4, "unknown", None, 1)]
-    assert r.loss_start == r.loss_end and rows[1, 1].piece == "<|turn|>assistant<|body|><|end|>" and rows[None, None].piece == "<|turn|><|body|><|end|>"
+    assert r.loss == [] and rows[1, 1].piece == "<|turn|>assistant<|body|><|end|>" and rows[None, None].piece == "<|turn|><|body|><|end|>"
 
 
 def test_edges(spark):
@@ -40,3 +44,44 @@ def test_edges(spark):
     assert rows[2].n_turns == 2 and rows[2].loss_chars == 300_001
     assert rows[None].n_turns == 1 and rows[None].loss_chars == 0
     assert ch.digest_conversations(ch.format_turns(ch.text_parts(turns.limit(0)))).count() == 0
+
+
+CHUNKS = ["<", "%", "|", "|end|>", "|turn|>", "end|>", "/s>", "s>", "[", "INST]", "/INST]", "a", "", "<|image_0|>", "_0|>", "\n", "é"]
+PART = st.one_of(
+    st.builds(lambda xs: {"type": "text", "text": "".join(xs)}, st.lists(st.sampled_from(CHUNKS), max_size=5)),
+    st.sampled_from([{"type": "image", "ref": "r"}, {"type": "audio"}, {"type": "document", "pages": 2}, {"type": "all"}, {"type": None}, None, {"type": "text", "text": None}]),
+)
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from(CHUNKS), max_size=3).map("".join), st.lists(PART, max_size=6)), max_size=4), st.integers(1, 7))
+@settings(max_examples=500, deadline=None)
+def test_whole_conversations_are_read_back(turns, step):
+    """Roles and parts come back from the marks alone, however the stream is cut; texts that meet are one."""
+    visitor, stream = ch.PartVisitor(), ""
+    wanted = []
+    for role, parts in turns:
+        body, found, spans = visitor.flatten(parts)
+        stream += f"{ch.TURN}{ch.escape(role)}{ch.BODY}{body}{ch.END}"
+        flat = []
+        for p in parts:
+            if (p or {}).get("type") == "text":
+                flat = [*flat[:-1], flat[-1] + (p["text"] or "")] if flat and isinstance(flat[-1], str) else [*flat, p["text"] or ""]
+            else:
+                kind = (p or {}).get("type")
+                flat.append((kind if kind in ("image", "audio", "document") else "unknown", sum(not isinstance(x, str) for x in flat)))
+        flat = [x for x in flat if x != ""]
+        assert [ch.unescape(body[s["start"] : s["end"]]) for s in spans] == [x for x in flat if isinstance(x, str)]
+        assert len(found) == sum(not isinstance(x, str) for x in flat)
+        wanted.append((role, flat))
+    reader = ch.Reader()
+    got = [turn for at in range(0, len(stream), step) for turn in reader.feed(stream[at : at + step])]
+    reader.close()
+    assert got == wanted
+
+
+def test_broken_streams_are_refused():
+    for text in ("no turn", ch.TURN + "user"):
+        with pytest.raises(ValueError):
+            reader = ch.Reader()
+            list(reader.feed(text))
+            reader.close()
