@@ -19,7 +19,8 @@ DECONTAMINATION = rf"""WITH it AS (SELECT item_id, w, len(w) AS n, least(len(w),
     its AS (SELECT *, {shingles('w', 'width')} AS s FROM it), ih AS (SELECT item_id, n, width, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS h FROM its),
     d AS (SELECT DISTINCT doc_id, text, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
     dh AS (SELECT doc_id, text, len(w) AS size, width, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS h FROM (SELECT *, {shingles('w', 'width')} AS s FROM d, (SELECT DISTINCT width FROM it)) WHERE len(w) >= width),
-    win AS (SELECT DISTINCT doc_id, text, item_id, greatest(0, least(dh.k - ih.k, size - n)) AS start FROM dh JOIN ih USING (h, width)),
+    hit AS (SELECT DISTINCT doc_id, text, item_id, dh.k, size, n, width FROM dh JOIN ih USING (h, width)),
+    win AS (SELECT DISTINCT doc_id, text, item_id, unnest(range(greatest(0, least(k - n + width, size - n)), greatest(0, least(k, size - n)) + 1)) AS start FROM hit),
     own AS (SELECT win.doc_id, win.text, win.item_id, start, n, its.s AS theirs, width, list_slice(d.w, start + 1, start + n) AS ow FROM win JOIN d ON d.doc_id IS NOT DISTINCT FROM win.doc_id AND d.text = win.text JOIN its USING (item_id)),
     sh AS (SELECT *, {shingles('ow', 'width')} AS ours FROM own),
     sc AS (SELECT *, list_sum(list_transform(list_distinct(theirs), lambda x: least(len(list_filter(ours, lambda y: y = x)), len(list_filter(theirs, lambda y: y = x))))) AS common FROM sh),

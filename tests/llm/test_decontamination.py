@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -69,18 +70,44 @@ def test_edits_and_edges(spark, edited):
 
 
 def test_blocks_cover_the_radius(spark):
-    import random
-
+    """Every item within the radius is found among all items of a size, and none beyond it."""
     rng = random.Random(1)
-    rows = []
-    for k in range(60):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), dc.RADIUS):
-            b ^= 1 << bit
-        rows.append((k, k, 0, a - (a >> 63 << 64), b - (b >> 63 << 64)))
-    df = spark.createDataFrame(rows, "row long, item_id long, start int, own_fp long, item_fp long")
-    assert {r.row for r in dc.block_matches(df).collect()} == set(range(60))
+    signed = lambda a: a - (a >> 63 << 64)
+    items = [rng.getrandbits(64) for _ in range(40)]
+    windows = []
+    for k in range(80):
+        a = items[k % 40]
+        for bit in rng.sample(range(64), dc.RADIUS + k // 40):
+            a ^= 1 << bit
+        windows.append(a)
+    own = spark.createDataFrame([(k, 5 + k % 2, 0, signed(a)) for k, a in enumerate(windows)], "row long, n int, start int, fp long")
+    listed = spark.createDataFrame([(k, 5 + k % 2, signed(a), ["s"]) for k, a in enumerate(items)], "item_id long, n int, item_fp long, item_shingles array<string>")
+    got = {(r.row, r.item_id): r.hamming for r in dc.looked_up(own, listed).collect()}
+    assert got == {(i, j): (a ^ b).bit_count() for i, a in enumerate(windows) for j, b in enumerate(items) if i % 2 == j % 2 and (a ^ b).bit_count() <= dc.RADIUS}
+    assert {(k, k) for k in range(40)} <= got.keys()
+
+
+def test_radius_loses_nothing(spark, sf, monkeypatch):
+    """Items with words left out, changed or repeated, similar by 0.8 to 1: as many are found within the radius as without one."""
+    rng = random.Random(6)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = []
+    for k in range(600):
+        w = words(rng.choice(items)[1])
+        for _ in range(rng.randint(0, max(1, len(w) // 30))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], [w[at], w[at]]])
+        docs.append((k, " ".join(["pad"] * 20 + w + ["end"] * 20)))
+    df, its = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.similarity for r in dc.find_contamination(df, its).collect()}
+    wanted = brute(docs, items)
+    assert len(wanted) > 200 and found == wanted
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    docs = spark.createDataFrame([(1, ITEM), (1, "clean words only"), (None, ITEM), (None, "clean"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in dc.decontaminate(docs, items).collect()) == [(0, "clean"), (1, "clean words only"), (2, "")]
 
 
 def test_reordered_items_are_found(spark):
