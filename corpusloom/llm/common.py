@@ -76,6 +76,13 @@ def slices(batches: Iterator[pa.RecordBatch], first: int = 0, limit: int = SLICE
                 yield part
 
 
+def keeping_columns(docs: DataFrame, added: tuple[str, ...], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What run() makes of docs, with the columns of docs and their values only: those that are called like what it adds are put aside meanwhile."""
+    aside = {c: f"__own{k}" for k, c in enumerate(docs.columns) if c in added}
+    out = run(docs.withColumnsRenamed(aside))
+    return out.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def kept_columns(df: DataFrame, names: list[str]) -> list[Column]:
     return [df[f"`{c}`"] for c in names]
 

@@ -5,8 +5,8 @@ Rates r >= 0 minimise, over all documents with t tokens each,
     sum_k (sum_d t p_k r - T_k)^2 / (2 S_k)  +  ridge / 2  sum_d t (r - 1)^2,    S_k = sum_d t p_k,
 so that expected tokens of domain k come to its target T_k and rates stay near 1. In the metric t the
 gradient is p . g + ridge (r - 1) with g_k = (sum_d t p_k r - T_k) / S_k; it needs one K-vector a round,
-so a document's rate follows from its posteriors and the K-vectors of the rounds so far: the only state
-that the driver holds is rounds x domains numbers.
+which is all that comes to the driver. A document's rate follows from its posteriors and the K-vectors since
+rates were last written, which they are every EVERY rounds.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut_lineage, table
+from .common import bounded_sample, broadcast_if_small, cut_lineage, table
 
 #: Share of expected tokens by domain.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 RIDGE = 0.01
 STEP = 0.9
+EVERY = 10
 
 
 def words(text: Column) -> Column:
@@ -44,7 +45,7 @@ def learn_classifier(labelled: DataFrame, domains: list[str], vocabulary: int =
 
 
 def posteriors(docs: DataFrame, classifier: DataFrame, domains: list[str], sharpness: float = 30.0, text_col: str = "text") -> DataFrame:
-    """(doc_id, source, text_hash, tokens, p): a row for each row of docs.
+    """(doc_id, source, text_hash, tokens, p, copies): a row for the rows of docs that agree in id, source and text, and their number.
 
     p are posteriors under equal priors; evidence of more than ``sharpness`` known words is scaled down
     to as many, so that long texts keep some doubt. A text without known words has equal posteriors.
@@ -53,7 +54,7 @@ def posteriors(docs: DataFrame, classifier: DataFrame, domains: list[str], sharp
     rows = docs.select("doc_id", "source", F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("ws"))
     # a text's first row stands for the text itself, so that texts without known words stay and repeats are counted
     each = rows.select("doc_id", "source", "text_hash", F.explode(F.concat("ws", F.array(F.lit(" ")))).alias("w"))
-    listed = F.broadcast(classifier.limit(100_000).select("w", *(F.col("l")[i].alias(f"l{i}") for i in k)))  # a model of bounded size
+    listed = broadcast_if_small(classifier.select("w", *(F.col("l")[i].alias(f"l{i}") for i in k)), classifier.count() * (len(domains) + 1))
     met = each.join(listed, "w", "left")
     sums = met.groupBy("doc_id", "source", "text_hash").agg(
         F.sum((F.col("w") == " ").cast("long")).alias("copies"), F.sum(((F.col("w") != " ") & (F.col("w") != "")).cast("long")).alias("tokens"),
@@ -64,56 +65,68 @@ def posteriors(docs: DataFrame, classifier: DataFrame, domains: list[str], sharp
     top = F.greatest(*(F.col(f"z{i}") for i in k)) if len(domains) > 1 else F.col("z0")
     odds = logits.select("*", *(F.exp(F.col(f"z{i}") - top).alias(f"e{i}") for i in k))
     total = sum((F.col(f"e{i}") for i in k), F.lit(0.0))
-    p = odds.select("doc_id", "source", "text_hash", "tokens", F.array(*(F.round(F.col(f"e{i}") / total, 9) for i in k)).alias("p"), "copies")
-    return p.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
+    return odds.select("doc_id", "source", "text_hash", "tokens", F.array(*(F.round(F.col(f"e{i}") / total, 9) for i in k)).alias("p"), "copies")
 
 
-def rate(history: list[list[float]], ridge: float, step: float) -> Column:
-    """A document's rate after the rounds of ``history``, from its posteriors."""
-    r = F.lit(1.0)
+def rate(start: Column, history: list[list[float]], ridge: float, step: float) -> Column:
+    """A document's rate after the rounds of ``history``, from its posteriors and the rate before them."""
     if not history:
-        return r
+        return start
     rounds = F.array(*(F.array(*map(F.lit, g)) for g in history))
     dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return F.aggregate(rounds, r, lambda r, g: F.greatest(F.lit(0.0), r - step * (dot(g) + ridge * (r - 1))))
+    return F.aggregate(rounds, start, lambda r, g: F.greatest(F.lit(0.0), r - step * (dot(g) + ridge * (r - 1))))
 
 
-def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, step: float = STEP, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """The K-vectors of each round; one aggregate over members (tokens, p) a round, until no expected total is off by more than it was by tolerance."""
+def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, step: float = STEP, max_rounds: int = 1_000, tolerance: float = 1e-5) -> DataFrame:
+    """members (tokens, p, copies) with their rate; one aggregate over them a round, until no component of g moves by the tolerance. Raises if rounds run out."""
     k = range(len(weights))
-    sizes = members.agg(F.sum("tokens").alias("t"), *(F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in k)).first()
+    t = F.col("tokens") * F.col("copies")
+    sizes = members.agg(F.sum(t).alias("t"), *(F.sum(t * F.col("p")[i]).alias(f"s{i}") for i in k)).first()
     total = float(sizes["t"] or 0)
     size = [max(float(sizes[f"s{i}"] or 0), 1.0) for i in k]
     share = sum(weights) or 1.0
     goal = [total * w / share for w in weights]
-    history: list[list[float]] = []
-    while len(history) < rounds and total:
-        r = members.select("tokens", "p", rate(history, ridge, step).alias("r"))
-        now = r.agg(*(F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")).alias(f"a{i}") for i in k)).first()
+    state, history, last = members.withColumn("rate", F.lit(1.0)), [], None
+    if not total:
+        return state
+    for _ in range(max_rounds):
+        after = rate(F.col("rate"), history, ridge, step)
+        now = state.agg(*(F.sum(t * F.col("p")[i] * after).alias(f"a{i}") for i in k)).first()
         g = [round((float(now[f"a{i}"]) - goal[i]) / size[i], 9) for i in k]
-        if history and max(abs(a - b) for a, b in zip(g, history[-1])) < tolerance:
-            break
+        if last and max(abs(a - b) for a, b in zip(g, last)) < tolerance:
+            return state.withColumn("rate", after)
         history.append(g)
-    return history
+        last = g
+        if len(history) == EVERY:
+            state, history = cut_lineage(state.withColumn("rate", rate(F.col("rate"), history, ridge, step))), []
+    raise RuntimeError(f"rates still change after {max_rounds} rounds: {last}")
+
+
+#: Columns that mix() adds.
+ADDED = ("tokens", "domain", "posterior", "rate", "copies")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", ridge: float = RIDGE) -> DataFrame:
-    """(doc_id, source, tokens, domain, posterior, rate, copies), a row for each row of docs.
+    """docs with tokens, domain, posterior, rate and copies, a row for each row of docs; columns of docs with these names get _in at the end.
 
     rate is the document's nonnegative weight; copies rounds it up or down by the hash of id and text, so
-    that sums keep the rate. labelled has doc_id, text and domain; domains without targets aren't used. Null and empty texts have no
-    tokens and equal posteriors; repeated rows are weighed alike; a null id or source is carried; an empty
-    table gives an empty table.
+    that sums keep the rate. labelled has doc_id, text and domain; domains without targets aren't used. Among
+    equal posteriors the domain that is first in the alphabet is named. Null and empty texts have no tokens and
+    equal posteriors; rows that repeat id, source and text are weighed alike, and each counts; a null id or
+    source is carried; an empty table gives an empty table. No document is held as a whole, however long.
     """
     targets = targets or TARGETS
     domains = sorted(targets)
     members = cut_lineage(posteriors(docs, cut_lineage(learn_classifier(labelled, domains)), domains, text_col=text_col))
-    history = fit_rates(members, [float(targets[d]) for d in domains], ridge)
-    rated = members.withColumn("rate", F.round(rate(history, ridge, STEP), 6))
-    uniform = F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(1 << 30)) / float(1 << 30)
+    rated = fit_rates(members, [float(targets[d]) for d in domains], ridge).withColumn("rate", F.round("rate", 6))
+    uniform = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
     best = F.array_max(F.col("p"))
-    return rated.select("doc_id", "source", "tokens", F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", best).cast("int")).alias("domain"), F.round(best, 6).alias("posterior"), "rate", copies)
+    domain = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", best).cast("int")).alias("domain")
+    rated = rated.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "tokens", domain, F.round(best, 6).alias("posterior"), "rate", copies)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"{c}_in" if c in ADDED else c) for c in docs.columns), F.xxhash64(text_col).alias("__text"))
+    same = own["doc_id"].eqNullSafe(rated["__id"]) & own["source"].eqNullSafe(rated["__source"]) & (own["__text"] == rated["__hash"])
+    return own.join(rated, same).drop("__id", "__source", "__hash", "__text")
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +139,5 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rate for the target weights."""
-    return mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, labelled_domains(spark, sf_dir)).select("doc_id", "source", *ADDED)
