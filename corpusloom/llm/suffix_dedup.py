@@ -29,7 +29,7 @@ GRAM = 64
 SPAN = LENGTH - GRAM + 1
 #: Windows hashed at once; shard bytes; contexts of one anchor that are compared by suffix arrays.
 CHUNK = 1 << 17
-SHARD = 1 << 20
+SHARD = 1 << 19
 PIECE = 1 << 18
 HOT = 5_000
 BASE = 0x9E3779B97F4A7C15
@@ -94,10 +94,10 @@ def refine(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)  # places fit 31 bits: memory is what bounds a shard
     first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank, own = np.empty(n, np.int32), np.arange(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, own, np.int32(0)))
     del key
     h = 8
     while h < depth:
@@ -114,7 +114,7 @@ def refine(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         suffix, second, group = suffix[by], second[by], group[by]
         order[open_] = suffix
         first[open_] = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
-        rank[suffix] = np.maximum.accumulate(np.where(first, np.arange(n), 0))[open_]
+        rank[suffix] = np.maximum.accumulate(np.where(first, own, np.int32(0)))[open_]
         h += ahead
     return order, rank
 
@@ -131,9 +131,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, cou
     padded = np.zeros(n + depth + 16, np.uint8)
     padded[:n] = text
     words = np.lib.stride_tricks.as_strided(padded, (n + depth + 8, 8), (1, 1))
-    before, place = np.full(n, -1, np.int64), np.full(n + 1, n, np.int64)
+    before, place = np.full(n, -1, np.int32), np.full(n + 1, n, np.int32)
     before[order[1:]] = order[:-1]
-    place[order] = np.arange(len(order))
+    place[order] = np.arange(len(order), dtype=np.int32)
     out = np.zeros(n, np.int16)
     walk = np.argsort(-counts, kind="stable")
     starts, counts = starts[walk], counts[walk]
