@@ -92,16 +92,29 @@ def word_tokens(text: Column) -> Column:
 
 
 def word_shingles(tokens: Column, size: int = 5) -> Column:
-    """Distinct runs of ``size`` tokens, joined by a unit separator; fewer tokens make one run, none an empty one."""
+    """Distinct runs of ``size`` tokens, joined by a unit separator; fewer tokens make one run, none an empty one.
+
+    tokens must be a column of its own (see with_word_shingles): an expression would be computed again for each run.
+    """
     n = F.size(tokens)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), "\x1f"))
     return F.array_distinct(runs)
 
 
-def char_grams(text: Column, size: int) -> Column:
-    """Runs of ``size`` characters, repeats included; a shorter text is its own run."""
-    n = F.length(text)
-    return F.when(n < size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+def with_word_shingles(df: DataFrame, name: str, text: Column, size: int = 5) -> DataFrame:
+    """df with the distinct word shingles of a text; the text is split once, so time follows its length."""
+    return bind(df, "__words", word_tokens(text)).withColumn(name, word_shingles(F.col("__words"), size)).drop("__words")
+
+
+def char_grams(chars: Column, size: int) -> Column:
+    """Runs of ``size`` of an array of characters (a column of its own), repeats included; fewer are one run."""
+    n = F.size(chars)
+    return F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, size), ""))
+
+
+def with_char_grams(df: DataFrame, name: str, text: Column, size: int) -> DataFrame:
+    """df with the distinct character runs of a text (null for null); it is split into characters once, so time follows its length."""
+    return bind(df, "__chars", F.split(text, "", -1)).withColumn(name, F.when(F.col("__chars").isNotNull(), F.array_distinct(char_grams(F.col("__chars"), size)))).drop("__chars")
 
 
 def sentences(text: Column) -> Column:

@@ -27,7 +27,7 @@ def build_edges(triples: DataFrame) -> DataFrame:
 
 def structural_violations(triples: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """Triples of structural predicates (rules: predicate, domain, range) with missing ends or ends of other types; the type Entity stands for all but Chunk and Document."""
-    t = triples.join(F.broadcast(rules.limit(10_000)), "predicate")  # a schema's predicates
+    t = triples.join(rules, "predicate")  # a schema's predicates: broadcast by their size, if it is small
     for end, want in (("subject", "domain"), ("object", "range")):
         types = nodes.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"))
         t = t.join(types, end, "left")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import event_queries, graph_queries, text_queries
+from . import event_queries, graph_queries, stage_queries, text_queries
 from .registry import Query
 
-PARTS = (text_queries.REG, graph_queries.REG, event_queries.REG)
+PARTS = (text_queries.REG, graph_queries.REG, stage_queries.REG, event_queries.REG)
 
 
 def queries() -> dict[str, Query]:

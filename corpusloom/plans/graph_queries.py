@@ -167,14 +167,17 @@ def k_hop_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.k_hop(*trade(spark, sf_dir), 3)
 
 
-@REG.query(f"""WITH RECURSIVE {TRADE}, first AS (SELECT n_nationkey AS id FROM nation ORDER BY 1 LIMIT 10), h AS (SELECT id AS source, id, 0 AS hops FROM first UNION SELECT source, object, hops + 1 FROM h JOIN te ON te.subject = h.id WHERE hops < 3),
+@REG.query(f"""WITH RECURSIVE {TRADE}, first AS (SELECT n_nationkey AS id FROM nation ORDER BY 1 LIMIT 200), h AS (SELECT id AS source, id, 0 AS hops FROM first UNION SELECT source, object, hops + 1 FROM h JOIN te ON te.subject = h.id WHERE hops < 3),
     m AS (SELECT source, id, min(hops) AS hops FROM h GROUP BY 1, 2 HAVING min(hops) > 0), c AS (SELECT (SELECT count(*) FROM first) AS s, (SELECT count(*) FROM nation) AS n, count_if(hops <= 2) AS reach2, count(*) AS reach3 FROM m)
     SELECT s AS sources, cast(reach2 AS BIGINT) AS reach2, reach3, round(reach2 / (s * (s - 1)), 6) AS pct2, round(reach3 / (s * (s - 1)), 6) AS pct3, round(reach2 / (s * (n - 1)), 6) AS corrected2, round(reach3 / (s * (n - 1)), 6) AS corrected3 FROM c""")
 def multi_hop_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.multi_hop(*trade(spark, sf_dir), sources=10)
+    return audit.multi_hop(*trade(spark, sf_dir))
 
 
-@REG.query()
+@REG.query(f"""WITH RECURSIVE {TRADE}, h AS (SELECT n_nationkey AS source, n_nationkey AS id, 0 AS hops FROM nation UNION SELECT source, object, hops + 1 FROM h JOIN te ON te.subject = h.id WHERE hops < 25), {components_sql('SELECT subject AS a, object AS b FROM te', 'SELECT n_nationkey AS id FROM nation')}
+    SELECT (SELECT count(DISTINCT root) FROM comp) AS weak, s.*, (SELECT round(avg(coefficient), 6) FROM ({REG.sql['clustering_coefficients'].replace(', 6)::DOUBLE AS coefficient', ', 12)::DOUBLE AS coefficient')})) AS mean_clustering,
+        (SELECT max(d)::BIGINT FROM (SELECT min(hops) AS d FROM h GROUP BY source, id)) AS estimated_diameter
+    FROM (SELECT count(*) AS strong, max(n) AS largest_strong, count_if(n > 1)::BIGINT AS strong_over_one FROM (SELECT component, count(*) AS n FROM ({REG.sql['strong_components']}) GROUP BY 1)) s""")
 def connectivity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.connectivity(*trade(spark, sf_dir))
 
@@ -234,7 +237,7 @@ def resolution_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
-CLOSE = f"{VECTORS}, cp AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.6)"
+CLOSE = f"{VECTORS}, cp AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.4)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,12 +246,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query(f"WITH {CLOSE} SELECT a, b, round(s, 6) AS similarity FROM cp")
 def cosine_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cosine_pairs(vectors(spark, sf_dir), 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return cosine_pairs(vectors(spark, sf_dir), 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @REG.query(f"WITH RECURSIVE {CLOSE}, {components_sql('SELECT a, b FROM cp', 'SELECT id FROM v')} SELECT id, 'dup-' || min(id::VARCHAR) OVER (PARTITION BY root) AS cluster_id, root AS canonical_id, id <> root AS is_duplicate FROM comp")
 def semantic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.semantic_clusters(vectors(spark, sf_dir), 0.6)
+    return dedup.semantic_clusters(vectors(spark, sf_dir), 0.4)
 
 
 @REG.query(f"WITH {VECTORS}, n AS (SELECT q.id, v.id AS neighbour, list_cosine_similarity(q.v, v.v) AS s FROM v q JOIN v ON q.id <> v.id WHERE q.id % 50 = 0) SELECT id, neighbour, round(s, 6) AS similarity, cast(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS rank FROM n) WHERE rank <= 5")

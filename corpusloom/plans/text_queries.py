@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, clean_text, curation_text, deterministic_split, normal_url, quality_profile, sentences, urls_in, word_shingles, word_tokens
-from ..functions.udfs import html_prose
+from ..functions.text import bind, clean_text, curation_text, deterministic_split, normal_url, quality_profile, sentences, urls_in, with_word_shingles
+from ..functions.udfs import html_prose, nfc
 from ..operators import archive, chunk, curate, dedup, extract, relations, scoring
 from ..operators.similarity import set_similarity
 from ..sources.readers import bio_spans, documents_from, reservoir
@@ -15,10 +15,10 @@ from .registry import Registry, table
 
 REG = Registry()
 
-CLEAN = r"""regexp_replace(replace(replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+CLEAN = r"""regexp_replace(replace(replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),
     '^\s+|\s+$', '', 'g'), '\r\n?', chr(10), 'g'), '[\t\f\x0b ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
     '‘’“”–', '''''""-'), '—', '--'), '…', '...'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')"""
-CURATED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+CURATED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')),
     '\r\n?', chr(10), 'g'), '[\t\f\x0b ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
     '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '^\s+|\s+$', '', 'g')"""
 
@@ -50,14 +50,9 @@ def doc_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "content", "language", "title", "url", F.col("metadata")["source"].alias("origin"))
 
 
-@REG.query(f"SELECT doc_id, {CLEAN} AS text FROM documents WHERE text IS NOT NULL")
+@REG.query(f"SELECT doc_id, {CLEAN} AS text FROM documents")
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", clean_text(F.col("text")).alias("text"))
-
-
-@REG.query("SELECT lang AS language, lang IN ('en') AS kept, count(*) AS n FROM documents GROUP BY ALL")
-def language_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("n")).withColumn("kept", F.col("language").isin("en"))
+    return table(spark, sf_dir, "documents").select("doc_id", clean_text(nfc(F.col("text"))).alias("text"))
 
 
 @REG.query("WITH " + profile_sql("src AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)") + "SELECT doc_id, round(score, 4) AS score, n AS char_count, words AS word_count, round(sym, 6) AS symbol_ratio, round(rep, 6) AS repeated_line_ratio, round(short, 6) AS short_token_ratio, reasons, flags FROM prof")
@@ -92,15 +87,15 @@ CLASSES = f"""{SHINGLES}, cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY
 
 @REG.query(f"WITH {SHINGLES} SELECT doc_id, len(s) AS n, list_min(s) AS least, list_max(s) AS most FROM sh")
 def shingle_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = word_shingles(word_tokens(F.col("text")), 5)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("least"), F.array_max("s").alias("most"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return with_word_shingles(docs, "s", F.col("text")).select("doc_id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("least"), F.array_max("s").alias("most"))
 
 
 @REG.query(f"WITH {CLASSES} SELECT a, b, round(similarity, 6) AS similarity FROM pr")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of equal shingle sets; near_dup_clusters has the membership."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    _, pairs = set_similarity(docs.select(F.col("doc_id").alias("id"), word_shingles(word_tokens(F.col("text")), 5).alias("tokens")), 0.85)
+    _, pairs = set_similarity(with_word_shingles(docs, "tokens", F.col("text")).select(F.col("doc_id").alias("id"), "tokens"), 0.85)
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -158,13 +153,31 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("sent", "s"))
 
 
-@REG.query()
+def packed_sql(docs: str, target: int, overlap: int) -> str:
+    """pk: doc_id, cs, the sentence chunks of docs (doc_id, text), by the same walk over sentences."""
+    return rf"""ps AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?…])[\s\x0b]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM {docs}),
+    pb AS (SELECT doc_id, flatten(list_transform(list_transform(ss, lambda s: {{'s': s, 'w': list_filter(regexp_split_to_array(s, '[\s\x0b]+'), lambda w: w <> '')}}), lambda e: CASE WHEN len(e.w) <= {target} THEN [e.s] ELSE list_transform(range(0, (len(e.w) - 1) // {target} + 1), lambda k: array_to_string(list_slice(e.w, k * {target} + 1, k * {target} + {target}), ' ')) END)) AS ss FROM ps),
+    pn AS (SELECT doc_id, list_transform(ss, lambda s: {{'s': s, 'n': len(list_filter(regexp_split_to_array(s, '[\s\x0b]+'), lambda w: w <> ''))}}) AS ss FROM pb WHERE len(ss) > 0),
+    pf AS (SELECT doc_id, list_reduce(list_transform(ss, lambda x: {{'cur': [x], 'n': x.n, 'out': []::VARCHAR[]}}), lambda a, x: CASE WHEN a.n + x.n <= {target} THEN {{'cur': list_concat(a.cur, x.cur), 'n': a.n + x.n, 'out': a.out}}
+        ELSE {{'cur': CASE WHEN coalesce(list_sum(list_transform(list_filter(a.cur, lambda y, i: list_sum(list_transform(list_slice(a.cur, i, len(a.cur)), lambda z: z.n)) <= {overlap}), lambda z: z.n)), 0) + x.n <= {target} THEN list_concat(list_filter(a.cur, lambda y, i: list_sum(list_transform(list_slice(a.cur, i, len(a.cur)), lambda z: z.n)) <= {overlap}), x.cur) ELSE x.cur END,
+            'n': (CASE WHEN coalesce(list_sum(list_transform(list_filter(a.cur, lambda y, i: list_sum(list_transform(list_slice(a.cur, i, len(a.cur)), lambda z: z.n)) <= {overlap}), lambda z: z.n)), 0) + x.n <= {target} THEN coalesce(list_sum(list_transform(list_filter(a.cur, lambda y, i: list_sum(list_transform(list_slice(a.cur, i, len(a.cur)), lambda z: z.n)) <= {overlap}), lambda z: z.n)), 0) ELSE 0 END + x.n)::BIGINT, 'out': list_append(a.out, array_to_string(list_transform(a.cur, lambda z: z.s), ' '))}} END) AS f FROM pn),
+    pk AS (SELECT doc_id, list_append(f.out, array_to_string(list_transform(f.cur, lambda z: z.s), ' ')) AS cs FROM pf)"""
+
+
+CHUNK_ROWS = r"""SELECT doc_id || ':chunk' || (i - 1) AS chunk_id, doc_id AS parent_doc_id, cast(i - 1 AS INT) AS chunk_index, cs[i] AS content, cast(len(list_filter(regexp_split_to_array(cs[i], '[\s\x0b]+'), lambda w: w <> '')) AS INT) AS token_count, cast(length(cs[i]) AS INT) AS char_length, CASE WHEN i < len(cs) THEN doc_id || ':chunk' || i END AS next_chunk_id FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM pk)"""
+
+
+@REG.query(f"WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {packed_sql('d', 120, 20)} {CHUNK_ROWS}")
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return chunk.chunk_documents(docs, chunk.sentence_chunks(F.col("text"), 120, 20))
 
 
-@REG.query()
+@REG.query(rf"""WITH s AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ss FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, text, list_reduce(list_prepend({{'cur': '', 'out': []::VARCHAR[]}}, list_transform(ss, lambda x: {{'cur': x, 'out': []::VARCHAR[]}})), lambda a, x: CASE WHEN length(a.cur) + length(x.cur) > 500 AND a.cur <> ''
+        THEN {{'cur': CASE WHEN ltrim(right(a.cur, 100)) = '' THEN x.cur ELSE ltrim(right(a.cur, 100)) || chr(10) || x.cur END, 'out': list_append(a.out, a.cur)}} ELSE {{'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END, 'out': a.out}} END) AS e FROM s),
+    p AS (SELECT doc_id, text, CASE WHEN e.cur = '' THEN e.out ELSE list_append(e.out, e.cur) END AS cs FROM f),
+    pk AS (SELECT doc_id, CASE WHEN length(text) <= 500 THEN [text] ELSE flatten(list_transform(cs, lambda c: CASE WHEN length(c) <= 500 THEN [c] ELSE list_transform(range(0, (length(c) - 101) // 400 + 1), lambda k: substr(c, (k * 400 + 1)::INT, 500)) END)) END AS cs FROM p) {CHUNK_ROWS}""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return chunk.chunk_documents(docs, chunk.fixed_chunks(F.col("text"), 500, 100, "\n"))
@@ -213,25 +226,25 @@ def hyperlink_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # a boundary is where a letter, digit or underscore ends; marks between names are doubled, so that each name has its own on both sides
 ENTITIES = r"""dt AS (SELECT doc_id, ' ' || regexp_replace(text, '([^\p{L}\p{N}_\p{M}])', '\1\1', 'g') || ' ' AS d, text FROM documents WHERE text IS NOT NULL),
     found AS (
-        SELECT doc_id, 0 AS k, 'CONTACT' AS type, 1.0::DOUBLE AS confidence, unnest(regexp_extract_all(text, '[\p{L}\p{N}_\p{M}.-]+@[\p{L}\p{N}_\p{M}.-]+\.[\p{L}\p{N}_\p{M}]+')) AS name FROM dt
+        SELECT doc_id, 0 AS k, 'CONTACT' AS type, 1.0::DOUBLE AS confidence, unnest(regexp_extract_all(text, '[\p{L}\p{N}_\p{M}][\p{L}\p{N}_\p{M}.-]*@[\p{L}\p{N}_\p{M}.-]+\.[\p{L}\p{N}_\p{M}]+')) AS name FROM dt
         UNION ALL SELECT doc_id, 1, 'URL', 1.0, unnest(regexp_extract_all(text, 'https?://[^\s]+')) FROM dt
         UNION ALL SELECT doc_id, 2, 'NAMED_ENTITY', 0.5, unnest(regexp_extract_all(d, '[^\p{L}\p{N}_\p{M}]([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)[^\p{L}\p{N}_\p{M}]', 1)) FROM dt
     ), keyed AS (SELECT *, lower(regexp_replace(name, '\s+', ' ', 'g')) AS key FROM found)"""
 
 
-@REG.query(f"WITH {ENTITIES} SELECT doc_id, key, min_by(type, k) AS type, min_by(confidence, k) AS confidence FROM keyed WHERE k <> 0 GROUP BY doc_id, key")
+@REG.query(f"WITH {ENTITIES} SELECT doc_id, key, min_by(type, k) AS type, min_by(confidence, k) AS confidence FROM keyed GROUP BY doc_id, key")
 def regex_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and capitalised phrases; tests cover addresses, whose boundaries SQL can't state."""
-    e = extract.pattern_entities(table(spark, sf_dir, "documents").where("text is not null")).where("type <> 'CONTACT'")
+    """Addresses, links and capitalised phrases."""
+    e = extract.pattern_entities(table(spark, sf_dir, "documents").where("text is not null"))
     return e.groupBy("doc_id", F.lower(F.regexp_replace("name", r"\s+", " ")).alias("key")).agg(F.max("type").alias("type"), F.max("confidence").alias("confidence"))
 
 
-GAZETTEER = """names AS (SELECT lower(w) AS id, lower(w) AS name, CASE WHEN length(w) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM (SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS w FROM benchmark) WHERE length(w) > 4)"""
+GAZETTEER = """names AS (SELECT w AS id, w AS name, CASE WHEN length(w) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS type FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) > 4)"""
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of benchmark items as names."""
-    w = F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))
+    """Words of benchmark items as names."""
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     return table(spark, sf_dir, "benchmark").select(w.alias("name")).where("length(name) > 4").distinct().select(F.col("name").alias("id"), "name", F.when(F.length("name") % 2 == 0, "PERSON").otherwise("ORG").alias("type"))
 
 
@@ -319,7 +332,7 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT lang, count(*) AS documents, cast(count_if(NOT good) AS BIGINT) AS rejected, cast(count_if(good AND NOT kept) AS BIGINT) AS duplicates, cast(count_if(kept) AS BIGINT) AS kept, cast(count_if(flags <> '') AS BIGINT) AS flagged, cast(coalesce(sum(words) FILTER (kept), 0) AS BIGINT) AS kept_words FROM dec GROUP BY lang""")
 def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents survive normalising, quality profiling and exact deduplication, by language."""
-    docs = bind(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "content", curation_text(F.coalesce("text", F.lit(""))))
+    docs = bind(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "content", curation_text(nfc(F.coalesce("text", F.lit("")))))
     p = docs.select("doc_id", "lang", F.sha2("content", 256).alias("digest"), quality_profile(F.col("content")).alias("p")).select("doc_id", "lang", "digest", (F.size("p.rejection_reasons") == 0).alias("good"), (F.size("p.review_flags") > 0).alias("flagged"), F.col("p.word_count").alias("words"))
     first = p.where("good").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept"))
     d = p.join(first, "doc_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
@@ -329,14 +342,23 @@ def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REG.query()
+@REG.query("WITH RECURSIVE " + profile_sql(f"src AS (SELECT doc_id, source, {CURATED} AS text FROM documents)") + rf""", acc AS (SELECT doc_id, text, round(score, 4) AS q FROM prof WHERE reasons = ''), cw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM acc),
+    csh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), chr(31)))) AS s FROM cw), cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class, s FROM csh), tok AS (SELECT class, len(s) AS n, unnest(s) AS t FROM cls WHERE doc_id = class),
+    pr AS (SELECT a.class AS a, b.class AS b FROM tok a JOIN tok b ON a.t = b.t AND a.class < b.class AND b.n >= 0.9 * a.n - 1e-9 AND a.n >= 0.9 * b.n - 1e-9 GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.9 - 1e-12), {components_sql('SELECT a, b FROM pr', 'SELECT DISTINCT class AS id FROM cls')},
+    mem AS (SELECT cls.doc_id, comp.root, q FROM cls JOIN comp ON comp.id = cls.class JOIN acc ON acc.doc_id = cls.doc_id), best AS (SELECT root, min_by(doc_id, (-q, doc_id)) AS canonical FROM mem GROUP BY root), gone AS (SELECT doc_id FROM mem JOIN best USING (root) WHERE doc_id <> canonical),
+    dec AS (SELECT source, flags, round(score, 4) AS score, reasons = '' AND doc_id NOT IN (FROM gone) AS kept FROM prof)
+    SELECT source, count(*) AS documents, count_if(kept)::BIGINT AS accepted, count_if(NOT kept)::BIGINT AS rejected, count_if(flags <> '')::BIGINT AS flagged, round(avg(score), 4) AS mean_score FROM dec GROUP BY ROLLUP (source)""")
 def curation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audited corpus's report by source: near duplicates count as rejected."""
     audit, _ = curate.curate(table(spark, sf_dir, "documents"))
     return curate.report(audit)
 
 
-@REG.query()
+@REG.query("WITH RECURSIVE " + profile_sql(f"src AS (SELECT doc_id, {CLEAN} AS text FROM documents WHERE text IS NOT NULL AND lang = 'en')") + rf""", good AS (SELECT min(doc_id::VARCHAR) AS doc_id, text FROM prof WHERE trim(text) <> '' AND NOT contains(text, chr(65533)) AND n >= 200 AND words >= 40 GROUP BY text), {packed_sql('good', 450, 60)}, kc AS ({CHUNK_ROWS}), {GAZETTEER},
+    ks AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '([.!?])\s+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM kc), kw AS (SELECT chunk_id, i, unnest(list_distinct(regexp_split_to_array(lower(ss[i]), '[^\p{{L}}\p{{N}}_#]+'))) AS w FROM (SELECT chunk_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM ks)),
+    men AS (SELECT DISTINCT chunk_id, i, id, type FROM kw JOIN names ON w = name), pr AS (SELECT DISTINCT a.id AS a, b.id AS b, a.type AS ta, b.type AS tb FROM men a JOIN men b ON a.chunk_id = b.chunk_id AND a.i = b.i AND a.id < b.id),
+    e AS (SELECT CASE WHEN ta = tb THEN CASE WHEN ta = 'PERSON' THEN 'knows' ELSE 'partner_of' END ELSE 'works_at' END AS label FROM pr UNION ALL SELECT 'part_of' FROM kc UNION ALL SELECT 'next' FROM kc WHERE next_chunk_id IS NOT NULL UNION ALL SELECT 'appears_in' FROM (SELECT DISTINCT id, chunk_id FROM men))
+    SELECT 'node' AS kind, type AS label, count(*) AS n FROM (SELECT DISTINCT id, type FROM men) GROUP BY type UNION ALL SELECT 'node', 'Document', count(*) FROM good UNION ALL SELECT 'node', 'Chunk', count(*) FROM kc UNION ALL SELECT 'edge', label, count(*) FROM e GROUP BY label""")
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to a graph, end to end: (kind, label, n) of its nodes and edges."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("").alias("title"), F.lit("").alias("url")).where("content is not null")

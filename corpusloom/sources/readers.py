@@ -69,6 +69,17 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return nodes, edges, triples
 
 
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of GraphML, as writers.graphml_lines() makes it: id, name, type; subject, object, predicates, weight."""
+    data = "data array<struct<_key: string, _VALUE: string>>"
+    value = lambda k: F.get(F.transform(F.filter("data", lambda d: d["_key"] == k), lambda d: d["_VALUE"]), F.lit(0))
+    xml = spark.read.format("xml").option("attributePrefix", "_").option("valueTag", "_VALUE")
+    nodes = xml.option("rowTag", "node").schema(f"_id string, {data}").load(path)
+    edges = xml.option("rowTag", "edge").schema(f"_source string, _target string, {data}").load(path)
+    e = edges.select(F.col("_source").alias("subject"), F.col("_target").alias("object"), F.from_json(value("predicates"), "array<string>").alias("predicates"), value("weight").cast("int").alias("weight"))
+    return nodes.select(F.col("_id").alias("id"), value("name").alias("name"), value("type").alias("type")), e
+
+
 def read_lines_leniently(spark: SparkSession, path: str) -> DataFrame:
     """JSONL whose malformed lines are skipped."""
     return documents_from(spark.read.json(path, mode="DROPMALFORMED"))

@@ -38,6 +38,17 @@ def node_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("id:ID"), "name", "type", F.when(F.col("type").isin("Chunk", "Document"), F.col("type")).otherwise("Entity").alias(":LABEL"))
 
 
+def categorized_nodes(nodes: DataFrame) -> DataFrame:
+    """(label, id, record): nodes for upload in three kinds, Chunk, Document and Entity, each as JSON with the fields of its kind that nodes have."""
+    fields = {"Chunk": ("id", "source", "text", "token_count", "chunk_index", "type"), "Document": ("id", "name", "type", "description", "source", "chunk_count"), "Entity": ("id", "name", "type", "aliases", "description", "importance", "confidence")}
+    label = F.when(F.col("type").isin("Chunk", "Document"), F.col("type")).otherwise("Entity")
+    record = None
+    for kind, names in fields.items():
+        one = F.to_json(F.struct(*(c for c in names if c in nodes.columns)))
+        record = F.when(F.col("label") == kind, one) if record is None else record.when(F.col("label") == kind, one)
+    return nodes.withColumn("label", label).select("label", "id", record.alias("record"))
+
+
 def relationship_rows(edges: DataFrame) -> DataFrame:
     """A row for each relation record of each edge."""
     r = edges.select("subject", "object", F.explode("relations").alias("r"))

@@ -26,26 +26,31 @@ def ingest(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the last row of each key in Parquet: versions are folders, the newest complete one is read."""
+def upsert(path: str, key: str, order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the last row of each key in Parquet, as a log: a batch writes its own folder and nothing else.
+
+    Of rows of a batch that repeat a key the last by ``order`` stays (the last as JSON without it). A batch that
+    is tried again overwrites its own folder, which no write reads, so a crash loses nothing; newest() reads the log.
+    """
 
     def write(df: DataFrame, n: int) -> None:
-        spark, target = df.sparkSession, f"{path}/v={n:010d}"
-        try:
-            last = spark.read.parquet(path).select(F.max("v")).first()[0]
-            old = spark.read.parquet(f"{path}/v={int(last):010d}").join(df.select(key), key, "left_anti")
-            df = old.unionByName(df)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        df.write.mode("overwrite").parquet(target)
+        row = F.struct(*df.columns)
+        one = df.groupBy(key).agg(F.max_by(row, F.col(order) if order else F.to_json(row)).alias("row")).select("row.*")
+        one.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return write
 
 
-def newest(spark, path: str) -> DataFrame:
-    last = spark.read.parquet(path).select(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={int(last):010d}")
+def newest(spark, path: str, key: str) -> DataFrame:
+    """The last row of each key over all batches."""
+    log = spark.read.parquet(path)
+    row = F.struct(*(c for c in log.columns if c != "batch"))
+    return log.groupBy(key).agg(F.max_by(row, "batch").alias("row")).select("row.*")
+
+
+def compact(spark, path: str, key: str, into: str) -> None:
+    """The log's newest rows as the first batch of another log."""
+    newest(spark, path, key).write.mode("overwrite").parquet(f"{into}/batch=0")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

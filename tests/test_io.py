@@ -93,7 +93,7 @@ def test_stream_of_documents(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest(stream, ingest.upsert(str(tmp_path / "out"), "chunk_id"), str(tmp_path / "check")).awaitTermination()
-    got = ingest.newest(spark, str(tmp_path / "out"))
+    got = ingest.newest(spark, str(tmp_path / "out"), "chunk_id")
     assert got.count() == 3 and got.select("parent_doc_id").distinct().count() == 3
 
 
