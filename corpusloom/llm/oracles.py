@@ -30,13 +30,17 @@ DECONTAMINATION = rf"""WITH it AS (SELECT item_id, w, len(w) AS n, least(len(w),
 
 def licenses() -> str:
     rows = ", ".join(f"({literal(k)}, {v}, {literal(t)})" for k, ts in sorted(TEMPLATES.items()) for v, t in enumerate(ts))
-    bigrams = lambda w: f"list_distinct({shingles(w, '2')})"
-    return rf"""WITH tw AS (SELECT license, variant, {WORDS.format('t')} AS w FROM (VALUES {rows}) v(license, variant, t)), tb AS (SELECT license, variant, {bigrams('w')} AS b FROM tw),
-    raw AS (SELECT doc_id, -1 AS line_no, text AS line FROM documents WHERE contains(text, chr(10)) UNION ALL SELECT doc_id, generate_subscripts(ls, 1) - 1, unnest(ls) FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-    lw AS (SELECT doc_id, line_no, {WORDS.format('line')} AS w FROM raw), lb AS (SELECT doc_id, line_no, {bigrams('w')} AS b FROM lw WHERE len(w) > 0),
-    sc AS (SELECT doc_id, line_no, license, variant, 2.0 * len(list_intersect(lb.b, tb.b)) / (len(lb.b) + len(tb.b)) AS dice FROM lb JOIN tb ON 2 * least(len(lb.b), len(tb.b)) >= {THRESHOLD} * (len(lb.b) + len(tb.b))),
-    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license, variant) AS r FROM sc WHERE dice >= {THRESHOLD})
-    SELECT doc_id, cast(line_no AS INT) AS line_no, license, variant, round(dice, 6)::DOUBLE AS dice FROM best WHERE r = 1"""
+    bigrams = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return rf"""WITH RECURSIVE tw AS (SELECT license, variant, {WORDS.format('t')} AS w FROM (VALUES {rows}) v(license, variant, t)), tb AS (SELECT license, variant, len(w) AS n, {bigrams('w')} AS b FROM tw),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), db AS (SELECT r, k, w[k] || ' ' || w[k + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS k FROM d)),
+    hit AS (SELECT DISTINCT r, license, variant, n, b, k FROM db JOIN (SELECT *, unnest(b) AS g FROM tb) USING (g)),
+    win AS (SELECT hit.*, list_slice(w, k, k + n - 1) AS x FROM hit JOIN d USING (r)), xb AS (SELECT *, {bigrams('x')} AS o FROM win),
+    sc AS (SELECT r, k - 1 AS s, license, variant, len(x) AS n, 2.0 * len(list_intersect(o, b)) / (len(o) + len(b)) AS dice FROM xb), good AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s, dice DESC, license, variant) AS i FROM sc WHERE dice >= {THRESHOLD}),
+    walk AS (SELECT r, i, s, n, dice, license, variant, 1 AS place FROM good WHERE i = 1
+        UNION ALL SELECT g.r, g.i, CASE WHEN p THEN g.s ELSE w.s END, CASE WHEN p THEN g.n ELSE w.n END, CASE WHEN p THEN g.dice ELSE w.dice END, CASE WHEN p THEN g.license ELSE w.license END, CASE WHEN p THEN g.variant ELSE w.variant END, w.place + (g.s >= w.s + w.n)::INT
+            FROM walk w JOIN good g ON g.r = w.r AND g.i = w.i + 1, LATERAL (SELECT g.s >= w.s + w.n OR g.dice > w.dice AS p)),
+    fin AS (SELECT *, row_number() OVER (PARTITION BY r, place ORDER BY i DESC) AS z FROM walk)
+    SELECT doc_id, cast(s AS INT) AS start_word, cast(n AS INT) AS n_words, license, variant, round(dice, 6)::DOUBLE AS dice FROM fin JOIN d USING (r) WHERE z = 1"""
 
 
 def matches(kind: str, order: int, pattern: str, keep: str) -> str:
