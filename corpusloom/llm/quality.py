@@ -156,7 +156,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
     """docs with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 up).
 
     Null and empty texts have an empty pool and the score that the network gives it; repeated rows score
-    alike; columns of the output's names are replaced. Row by row, without a shuffle.
+    alike; equal scores stay equal; columns of the output's names are replaced; an empty table gives none. Row
+    by row, without a shuffle; texts are taken in slices of some megabytes, a longer one by itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -153,11 +153,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 5
 def learn_lexicon(labelled: DataFrame, size: int) -> dict[str, float]:
     """Smoothed log odds of words whose presence sets toxic documents off, chosen by likelihood ratio over distinct documents; near copies of one text count once.
 
-    labelled: text, label. A copy is known by the least hash among its long words.
+    labelled: text, label. A copy is known by the eight least hashes among its long words; texts with fewer
+    long words are copies only where they are equal.
     """
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
-    docs = labelled.select("label", tokens.alias("t"))
-    docs = docs.withColumn("sig", F.array_min(F.transform(F.filter("t", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))))
+    docs = labelled.select("label", "text", tokens.alias("t"))
+    least = F.slice(F.array_sort(F.transform(F.filter("t", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), 1, 8)
+    docs = docs.withColumn("sig", F.when(F.size(least) == 8, F.xxhash64(least)).otherwise(F.xxhash64("text"))).drop("text")
     docs = docs.dropDuplicates(["label", "sig"])
     counts = docs.select("label", F.explode("t").alias("w")).where("w <> ''").groupBy("w").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")).where("a + b >= 4")
     sizes = docs.agg(F.sum("label").alias("x"), F.count("*").alias("n")).first()
@@ -220,8 +222,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """docs with ``score`` (0 to 1), ``predicted`` (1 from 0.5 up) and ``toxic_spans`` array<struct<start, end, p>>.
 
     Spans are runs of tokens that are toxic with probability span_at or more, in code points. Null and
-    empty texts get the score of a text without toxic tokens; repeated rows score alike; columns of the
-    output's names are replaced. Row by row, without a shuffle; the model's size is bounded.
+    empty texts get the score of a text without toxic tokens; repeated rows score alike; equal scores stay
+    equal; columns of the output's names are replaced; an empty table gives none. Row by row, without a shuffle;
+    texts are taken in slices of some megabytes, a longer one by itself; the model's size is bounded.
     """
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_spans", T.ArrayType(span))]
@@ -259,18 +262,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     return append_columns(docs, [text_col], fields, start)
 
 
-def labelled_rows(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int, texts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that aren't held out."""
-    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col(label).alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    docs = (table(spark, sf_dir, "documents") if texts is None else texts).select("doc_id", "text")
-    return docs.join(labels, "doc_id")
-
-
 def thin(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int, bound: int) -> DataFrame:
-    """Labelled rows, thinned to ``bound`` a class before texts are read for them."""
-    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col(label).alias("label")).where("label is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    few = bounded_sample(labels, "doc_id", bound, "label")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most bound rows a class
+    """(doc_id, text, label) of labelled documents that aren't held out, thinned to ``bound`` a class before texts are read for them; ids that are labelled both ways, or neither 0 nor 1, teach nothing."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), modulus, remainder)).select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    agreed = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    few = bounded_sample(agreed, "doc_id", bound, "label")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most about bound rows a class
 
 
 def trained(spark: SparkSession, sf_dir: str, sample: int = 6_000) -> ToxicityModel:

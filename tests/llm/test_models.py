@@ -41,6 +41,43 @@ def test_held_out_accuracy(spark, run, label, least):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxic_recall_by_language(spark):
+    """What a label of toxicity catches, by language, on held-out rows of the larger table; and how few clean documents it takes along. A twentieth of the toxic documents hold no toxic word."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    rows = [r for r in tx.op3_toxicity(spark, sf).join(docs, "doc_id").where("held_out").collect()]
+    for lang in sorted({r.lang for r in rows}):
+        toxic = [r for r in rows if r.lang == lang and r.toxic]
+        assert len(toxic) >= 3 and np.mean([r.predicted for r in toxic]) >= (0.85 if len(toxic) >= 20 else 0.5), (lang, len(toxic), sum(r.predicted for r in toxic))
+    assert np.mean([r.predicted for r in rows if r.toxic]) >= 0.9
+    assert np.mean([r.predicted for r in rows if not r.toxic]) <= 0.02
+
+
+def test_labels_that_disagree_teach_nothing(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 7), (None, 1), (4, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(k, f"text {k}") for k in range(1, 5)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id, r.label) for r in tx.thin(spark, str(tmp_path), "toxic", 5, 9, 100).collect()) == [(2, 1), (4, 0)]
+
+
+def test_quality_scores_against_plain_python(spark):
+    """Scores of the operator from its model, by the definition, word by word."""
+    model = ql.train(ql.thin(spark, SF, "quality", 3, 1, 300).collect(), vocabulary=500)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 29 = 0")
+    for r in ql.score_quality(docs, model).collect():
+        tokens = ql.TOKEN.findall(r.text or "")
+        n = max(1, len(tokens))
+        x = np.zeros(ql.DIM + ql.STATS)
+        for t in tokens:
+            x[: ql.DIM] += model.vectors[model.ids.get(t, ql.shape(t))] / n
+        if tokens:
+            marks = sum(t in "!|%&#*$" for t in tokens) if n < 50 else sum(c in "!|%&#*$" for c in r.text)
+            x[ql.DIM :] = (np.log(1 + n), len(set(tokens)) / n**0.8, sum(a == b for a, b in zip(tokens, tokens[1:])) / n, marks / n, sum(t.isupper() for t in tokens) / n, r.text.count("\n") / n, len(r.text) / n / 10)
+        x = np.clip((x - model.shift) / model.scale, -6, 6)
+        w1, b1, w2, b2 = model.layers
+        z = sum(float(np.tanh(x @ w1[:, k] + b1[k])) * w2[k] for k in range(ql.HIDDEN)) + b2
+        assert abs(r.score - 1 / (1 + np.exp(-z / model.temperature))) < 1e-4
+
+
 def test_every_document_is_scored_and_split_by_hash(spark):
     import zlib
 
