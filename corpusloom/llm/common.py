@@ -39,6 +39,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     Python lists and returns one list a field. Rows stream in slices of SLICE_BYTES: memory follows the
     slice (or its longest row), not the batch or the partition.
     """
+    bound_batches(df.sparkSession)
     names = {f.name for f in fields}
     keep = [f for f in df.schema.fields if f.name not in names]
     out = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in keep), *fields])
@@ -59,6 +60,15 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     return source.mapInArrow(run, out)
 
 
+#: Rows of the Arrow batches that this subpackage asks for, where the session has Spark's default: texts are long, and a batch of its ten thousand rows is held on both sides.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 #: Bytes of input columns that are Python objects at a time.
 SLICE_BYTES = 2 << 20
 

@@ -78,7 +78,7 @@ def rate(start: Column, history: list[list[float]], ridge: float, step: float) -
 
 
 def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, step: float = STEP, max_rounds: int = 1_000, tolerance: float = 1e-5) -> DataFrame:
-    """members (tokens, p, copies) with their rate; one aggregate over them a round, until no component of g moves by the tolerance. Raises if rounds run out."""
+    """members (tokens, p, copies) with their rate; one aggregate over them a round, until no component of g moves by the tolerance (by its share of those over 1: targets that the documents can't reach). Raises if rounds run out."""
     k = range(len(weights))
     t = F.col("tokens") * F.col("copies")
     sizes = members.agg(F.sum(t).alias("t"), *(F.sum(t * F.col("p")[i]).alias(f"s{i}") for i in k)).first()
@@ -93,7 +93,7 @@ def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, st
         after = rate(F.col("rate"), history, ridge, step)
         now = state.agg(*(F.sum(t * F.col("p")[i] * after).alias(f"a{i}") for i in k)).first()
         g = [round((float(now[f"a{i}"]) - goal[i]) / size[i], 9) for i in k]
-        if last and max(abs(a - b) for a, b in zip(g, last)) < tolerance:
+        if last and max(abs(a - b) / max(1.0, abs(b)) for a, b in zip(g, last)) < tolerance:
             return state.withColumn("rate", after)
         history.append(g)
         last = g

@@ -182,6 +182,35 @@ def cluster_buckets(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) ->
     yield from links(*held)
 
 
+#: Ids that a task's links are held for at a time.
+HELD = 1_000_000
+
+
+def contracted(links: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) with the same components but one link an id, to the least id of its component: the many buckets that a group meets in say the same over and over."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    def told() -> pa.RecordBatch:
+        pairs = [(r, x) for x in root if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in links:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > HELD:
+            yield told()
+            root.clear()
+    if root:
+        yield told()
+
+
 def match_blocks(batches: Iterator[pa.RecordBatch], similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, block, part, role, id, hashes), each block's asked sets (role 0) first, to links (a, b).
 
@@ -247,7 +276,7 @@ def compare(sets: DataFrame, asked: DataFrame, similarity: float) -> DataFrame:
     own = wanted.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "id", "hashes")
     others = sets.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int").alias("part"), F.lit(1).alias("role"), "id", "hashes")
     dealt = own.union(others).repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "role", "id")
-    return cut_lineage(dealt.mapInArrow(lambda batches: match_blocks(batches, similarity), "a long, b long"))
+    return cut_lineage(dealt.mapInArrow(lambda batches: contracted(match_blocks(batches, similarity)), "a long, b long"))
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -263,7 +292,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> D
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """(a, b): links of classes (id, f0, f1, one) that join up all that are similar enough."""
     keys = classes.select("id", "f0", "f1").mapInArrow(list_keys, "key long, id long, f0 long, f1 long").repartition("key").sortWithinPartitions("key")
-    found = connected_components(keys.mapInArrow(cluster_buckets, "a long, b long"))
+    found = connected_components(keys.mapInArrow(lambda batches: contracted(cluster_buckets(batches)), "a long, b long"))
     clusters = found.select("id", F.col("component").alias("cluster"))
     sizes = cut_lineage(clusters.groupBy("cluster").agg(F.count("*").alias("members")))
     wanted = cut_lineage(classes.join(clusters.join(broadcast_if_small(sizes, sizes.count()), "cluster"), "id").select("cluster", "id", "members", "one.doc_id", "one.t"))

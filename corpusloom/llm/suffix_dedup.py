@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, broadcast_if_small, cut_lineage, slices, table
+from .common import append_columns, bound_batches, broadcast_if_small, cut_lineage, slices, table
 
 LENGTH = 400
 GRAM = 64
@@ -372,6 +372,7 @@ def same_row(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame
 
 def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans): each row of docs with the maximal byte ranges that repeated strings cover; null where there are none."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.encode(text_col, "UTF-8").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = cut_lineage(list_contexts(docs))
     one = F.min(F.struct("doc_id", "t", "start", "n")).alias("one")
