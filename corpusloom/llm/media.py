@@ -19,12 +19,16 @@ WIDTH = ROW // 3
 
 
 def decode(media: bytes) -> np.ndarray:
-    """Height x width x channels, 8 bits a sample; ValueError for other formats."""
+    """Height x width x channels, 8 bits a sample; ValueError for other formats and for images without pixels."""
     if media[:2] == b"BM":
-        return decode_bmp(media)
-    if media[:1] == b"P" and media[1:2] in b"123456" and len(media) > 2:
-        return decode_netpbm(media)
-    raise ValueError("neither Netpbm nor BMP")
+        samples = decode_bmp(media)
+    elif media[:1] == b"P" and media[1:2] in b"123456" and len(media) > 2:
+        samples = decode_netpbm(media)
+    else:
+        raise ValueError("neither Netpbm nor BMP")
+    if not samples.size:
+        raise ValueError("an image without pixels")
+    return samples
 
 
 TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -39,6 +43,8 @@ def decode_netpbm(media: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     width, height, top = (*head, 1)[:3]
+    if not 0 < top < 1 << 16:
+        raise ValueError("samples of no size that is read")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
     if kind == 4:
@@ -59,7 +65,7 @@ def decode_netpbm(media: bytes) -> np.ndarray:
 def decode_bmp(media: bytes) -> np.ndarray:
     offset, = struct.unpack_from("<I", media, 10)
     head, width, height, _, depth, packed = struct.unpack_from("<IiiHHI", media, 14)
-    if packed not in (0, 3) or depth not in (8, 24, 32):
+    if packed not in (0, 3) or depth not in (8, 16, 24, 32) or packed == 3 and depth not in (16, 32):
         raise ValueError("BMP of a kind that isn't read")
     stride = (width * depth // 8 + 3) // 4 * 4
     rows = np.frombuffer(media, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)[:, : width * depth // 8]
@@ -68,9 +74,23 @@ def decode_bmp(media: bytes) -> np.ndarray:
         n = struct.unpack_from("<I", media, 46)[0] or 256
         palette = np.frombuffer(media, np.uint8, 4 * n, 14 + head).reshape(n, 4)
         return palette[rows][..., 2::-1].copy()
+    if packed == 3 or depth == 16:
+        masks = struct.unpack_from("<III", media, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        return masked(np.ascontiguousarray(rows).view("<u2" if depth == 16 else "<u4").astype(np.int64), masks)
     return rows.reshape(abs(height), width, depth // 8)[..., 2::-1].copy()
 
 
+def masked(pixels: np.ndarray, masks: tuple[int, int, int]) -> np.ndarray:
+    """Red, green and blue as the masks' bits of each pixel say, to 8 bits; an empty mask is a channel of zeros."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if mask:
+            low = (mask & -mask).bit_length() - 1
+            top = mask >> low
+            out[..., k] = (((pixels & mask) >> low) * 255 + top // 2) // top
+    return out
+
+
 def encode_ppm(samples: np.ndarray) -> bytes:
     return b"P6\n%d %d\n255\n" % (samples.shape[1], samples.shape[0]) + samples.tobytes()
 

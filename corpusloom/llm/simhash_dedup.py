@@ -229,13 +229,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return own.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without all but the first (least doc_id) of each group of near duplicates; of rows that share its id, one stays. Rows without an id stay."""
-    kept = near_duplicates(docs, text_col).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -19,6 +19,56 @@ def test_query_round_trip(spark, sf):
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def test_query_features_against_plain_means(spark, sf):
+    """Difference hashes and tiles of small images, with every mean taken over pixels that are repeated until cells fit."""
+    import io
+    import math
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+    def means(x, height, width):
+        h, w = x.shape[:2]
+        a, b = math.lcm(h, height), math.lcm(w, width)
+        fine = np.repeat(np.repeat(x.astype(float), a // h, 0), b // w, 1)
+        return fine.reshape(height, a // height, width, b // width, -1).mean((1, 3))
+
+    seen = 0
+    for r in md.op5_media(spark, sf).collect():
+        raw = docs[r.doc_id]
+        n = max(1, -(-len(raw) // 192))
+        if n > 6:
+            continue
+        seen += 1
+        x = np.frombuffer(raw.ljust(192 * n), np.uint8).reshape(n, 64, 3)
+        gray = np.round(means((x @ np.array([0.299, 0.587, 0.114]))[..., None], 8, 9)[..., 0], 6)
+        bits = "".join(str(int(b > a)) for row in gray for a, b in zip(row, row[1:]))
+        assert r.feature == f"{int(bits, 2):016x}"
+        out = io.BytesIO()
+        np.save(out, np.clip(np.rint(np.round(means(x, 32, 32), 9)), 0, 255).astype(np.uint8))
+        got = np.load(io.BytesIO(md.npy_tile(x, 32)))
+        assert np.abs(got.astype(int) - np.load(io.BytesIO(out.getvalue())).astype(int)).max() <= 1
+        assert r.tile_sha256 == hashlib.sha256(md.npy_tile(x, 32)).hexdigest()
+    assert seen > 5
+
+
+def test_bit_fields():
+    """16 and 32 bits a pixel, with masks and without."""
+    import struct
+
+    def bmp(depth, packed, body, masks=()):
+        return struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54 + 4 * len(masks)) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, depth, packed, 0, 0, 0, 0, 0) + b"".join(struct.pack("<I", m) for m in masks) + body
+
+    assert md.decode(bmp(16, 3, struct.pack("<HH", 0xF800, 0x07E0), (0xF800, 0x07E0, 0x001F))).tolist() == [[[255, 0, 0], [0, 255, 0]]]
+    assert md.decode(bmp(16, 0, struct.pack("<HH", 0x7C00, 0x001F))).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert md.decode(bmp(32, 3, struct.pack("<II", 0x11223300, 0xFF), (0xFF000000, 0xFF0000, 0xFF00))).tolist() == [[[17, 34, 51], [0, 0, 0]]]
+
+
+@pytest.mark.parametrize("media", [b"P6 0 0 255\n", b"P5\n0 3\n255\n", b"P2 1 1 0 1", b"P5 2 2 255 a", b"BM" + bytes(60)])
+def test_images_without_pixels_are_refused(media):
+    with pytest.raises((ValueError, __import__("struct").error)):
+        md.decode(media)
+
+
 @pytest.mark.parametrize("shape", [(1, 1, 3), (5, 7, 3), (8, 64, 3)])
 def test_bmp_and_ppm(shape):
     x = np.random.default_rng(1).integers(0, 256, shape, np.uint8)
