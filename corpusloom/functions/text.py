@@ -158,6 +158,11 @@ def hash_fraction(key: Column, seed: str = "42") -> Column:
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def hash_group(key: Column, groups: int) -> Column:
+    """0 to groups - 1 by the first four hexadecimal digits of the key's digest."""
+    return (F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 4), 16, 10).cast("int") % groups).cast("int")
+
+
 def deterministic_split(key: Column) -> Column:
     """train, validation or test (90, 2 and 8 in a hundred) from the first 8 bytes of the key's digest."""
     bucket = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)") % 10000

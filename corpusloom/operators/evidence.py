@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import hash_group
 from .components import cut
 
 
@@ -190,7 +191,7 @@ def split_to_limit(texts: DataFrame, limit: int, count=None, text_col: str = "te
 
 def token_batches(rows: DataFrame, budget: int, most: int = 32, id_col: str = "id", tokens_col: str = "tokens", groups: int = 64) -> DataFrame:
     """(id, tokens, batch): the longest first, a batch holds up to ``most`` rows within the budget (or one row beyond it); filled side by side in ``groups`` hashed parts."""
-    key = F.pmod(F.xxhash64(id_col), F.lit(groups))
+    key = hash_group(F.col(id_col), groups)
     dealt = rows.select(key.alias("g"), F.col(id_col).alias("id"), F.col(tokens_col).cast("long").alias("tokens")).repartition("g").sortWithinPartitions("g", F.desc("tokens"), "id")
 
     def fill(batches):

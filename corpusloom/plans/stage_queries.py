@@ -744,3 +744,72 @@ def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     merged = s.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("leader"), F.col("s_name").alias("name"), F.concat(F.lit("S"), (F.col("s_nationkey") % 4).cast("string")).alias("type"), F.array(F.concat(F.lit("alias "), (F.col("s_suppkey") % 20).cast("string"))).alias("aliases"))
     return resolve.alias_map(merged)
+
+
+# --- samples, gold, batches, exports, comparisons ---
+
+
+@REG.query("""WITH l AS (SELECT s_suppkey AS src, s_suppkey * 3 % 97 AS dst FROM supplier UNION ALL SELECT s_suppkey, s_suppkey * 5 % 89 FROM supplier), g AS (SELECT dst AS id, count(*) AS n FROM l WHERE src IN (1, 2, 3, 4) AND dst NOT IN (1, 2, 3, 4) GROUP BY dst ORDER BY n DESC, dst LIMIT 5)
+    SELECT id FROM g UNION ALL SELECT unnest([1, 2, 3, 4])::BIGINT""")
+def grown_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four suppliers and the five most linked to from them: a sampling operator, one round."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    links = s.select(k.alias("src"), (k * 3 % 97).alias("dst")).union(s.select(k, k * 5 % 89))
+    return readers.grow_by_links(links, spark.range(1, 5), 100.0, 5, 9)
+
+
+@REG.query("""WITH p AS (SELECT s_suppkey AS a, 1000 + s_suppkey AS b FROM supplier), ring AS (SELECT b, lead(b) OVER (PARTITION BY ('0x' || substr(sha256(b::VARCHAR), 1, 4))::INT % 256 ORDER BY sha256('42|' || b), b) AS nb FROM p)
+    SELECT a, b, 'duplicate' AS label FROM p UNION ALL SELECT a, nb, 'not_duplicate' FROM p JOIN ring USING (b) WHERE nb IS NOT NULL""")
+def matching_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.lit(1000) + F.col("s_suppkey")).alias("b"))
+    return readers.matching_gold(p, p.select("a"), p.select("b"))
+
+
+@REG.query("""WITH e AS (SELECT p_partkey AS id, lower(p_name) AS k, ('0x' || substr(sha256(p_partkey::VARCHAR), 1, 4))::INT % 1024 AS g, sha256(p_partkey::VARCHAR) AS h FROM part),
+    n AS (SELECT id, k, unnest([lead(id) OVER w, lead(id, 2) OVER w, lead(id, 3) OVER w]) AS b, unnest([lead(k) OVER w, lead(k, 2) OVER w, lead(k, 3) OVER w]) AS kb FROM e WINDOW w AS (PARTITION BY g ORDER BY h, id))
+    SELECT x.id AS a, y.id AS b, 1 AS label FROM e x JOIN e y ON x.k = y.k AND x.id < y.id UNION ALL SELECT least(id, b), greatest(id, b), 0 FROM n WHERE b IS NOT NULL AND k <> kb""")
+def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa.entity_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@REG.query("""WITH RECURSIVE o AS (SELECT doc_id AS id, n_chars AS tokens, g, row_number() OVER (PARTITION BY g ORDER BY n_chars DESC, doc_id) AS r FROM (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 4))::INT % 64 AS g FROM documents)),
+    f AS (SELECT g, r, id, tokens, tokens AS held, 1 AS n, 0 AS k FROM o WHERE r = 1 UNION ALL SELECT o.g, o.r, o.id, o.tokens, CASE WHEN f.n >= 4 OR f.held + o.tokens > 6000 THEN o.tokens ELSE f.held + o.tokens END, CASE WHEN f.n >= 4 OR f.held + o.tokens > 6000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 4 OR f.held + o.tokens > 6000 THEN f.k + 1 ELSE f.k END FROM f JOIN o ON o.g = f.g AND o.r = f.r + 1)
+    SELECT id, tokens, lpad(g::VARCHAR, 3, '0') || '-' || lpad(k::VARCHAR, 5, '0') AS batch FROM f""")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by length, four a batch at most and 6,000 characters."""
+    return evidence.token_batches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("tokens")), 6_000, 4)
+
+
+@REG.query(f"WITH {PLACES} SELECT 'node' AS kind, id AS a, name AS p, type AS b FROM pn UNION ALL SELECT 'relationship', subject, upper(predicate), object FROM pt")
+def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bulk export, written to the shared folder and read back."""
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+    t = place_triples(spark, sf_dir)
+    writers.export(place_nodes(spark, sf_dir), place_edges(spark, sf_dir), t, path, ["bulk_csv"])
+    nodes, relationships = (spark.read.csv(f"{path}/bulk_csv/{k}", header=True) for k in ("nodes", "relationships"))
+    return nodes.select(F.lit("node").alias("kind"), F.col("`id:ID`").alias("a"), F.col("name").alias("p"), F.col("type").alias("b")).union(relationships.select(F.lit("relationship"), "`:START_ID`", "`:TYPE`", "`:END_ID`"))
+
+
+@REG.query(f"WITH {PLACES} SELECT 'node' AS kind, id AS a, name AS p, type AS b FROM pn UNION ALL SELECT 'edge', subject, predicate, object FROM pt UNION ALL SELECT 'triple', subject, predicate, object FROM pt WHERE predicate = 'lies_in'")
+def read_graph_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as one node-link file, read back; triples of a structural predicate are left out."""
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    t = place_triples(spark, sf_dir)
+    nodes = place_nodes(spark, sf_dir).agg(F.collect_list(F.struct("id", "name", "type")).alias("nodes"))  # one file holds all of a graph
+    edges = t.agg(F.collect_list(F.struct("subject", "predicate", "object")).alias("edges"))
+    triples = t.withColumn("predicate", F.when(F.col("predicate") == "lives_in", "PART_OF").otherwise(F.col("predicate"))).agg(F.collect_list(F.struct("subject", "predicate", "object")).alias("triples"))
+    nodes.join(edges, F.lit(True)).join(triples, F.lit(True)).select(F.to_json(F.struct(F.struct("nodes", "edges").alias("graph"), "triples")).alias("value")).coalesce(1).write.text(path)
+    n, e, k = readers.read_graph_json(spark, path)
+    one = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("subject").alias("a"), F.col("predicate").alias("p"), F.col("object").alias("b"))
+    return n.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("p"), F.col("type").alias("b")).union(one("edge", e)).union(one("triple", k))
+
+
+@REG.query(f"SELECT 'all' AS variant, * FROM ({GRAPH_REG.sql['quality_metrics_report']}) UNION ALL SELECT 'again', * FROM ({GRAPH_REG.sql['quality_metrics_report']})")
+def compared_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pipelines import compare
+
+    report = GRAPH_REG.queries["quality_metrics_report"]
+    return compare({name: lambda: report(spark, sf_dir) for name in ("all", "again")})

@@ -123,8 +123,10 @@ def bio_spans(tokens: DataFrame, seq: str, pos: str, token: str, tag: str) -> Da
 def matching_gold(pairs: DataFrame, left: DataFrame, right: DataFrame, seed: str = "42") -> DataFrame:
     """(a, b, label): the mapped pairs (a, b) as duplicates, and as many others: each left id with a right id that follows its own in hashed order."""
     pos = pairs.select("a", "b").distinct()
-    bucket = F.pmod(F.xxhash64("b"), F.lit(256))
-    ring = right.select(F.col("b")).distinct().withColumn("nb", F.lead("b").over(Window.partitionBy(bucket).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col("b").cast("string")), 256)))).where("nb is not null")
+    from ..functions.text import hash_group
+
+    bucket = hash_group(F.col("b"), 256)
+    ring = right.select(F.col("b")).distinct().withColumn("nb", F.lead("b").over(Window.partitionBy(bucket).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col("b").cast("string")), 256), "b"))).where("nb is not null")
     neg = pos.join(ring, "b").select("a", F.col("nb").alias("b")).join(pos, ["a", "b"], "left_anti")
     return pos.withColumn("label", F.lit("duplicate")).union(neg.withColumn("label", F.lit("not_duplicate")))
 

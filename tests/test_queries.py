@@ -8,8 +8,14 @@ from corpusloom.plans import catalogue
 SQL = catalogue.oracle_sql()
 
 
-@pytest.mark.parametrize("name", list(catalogue.queries()))
+#: Queries whose cases a larger table holds more of: they run on it as well.
+LARGER = ("simhash_dedup", "exact_dedup", "ngram_leader_dedup", "near_dup_pairs", "near_dup_clusters", "sentence_chunks", "fixed_chunks", "regex_entities", "graph_health", "structural_violations")
+
+
+@pytest.mark.parametrize("name", [*catalogue.queries(), *(f"{n}/larger" for n in LARGER)])
 def test_query(spark, sf, oracle, name):
+    if name.endswith("/larger"):
+        name, sf = name.removesuffix("/larger"), "/root/testdata/sf0.01"
     df = catalogue.queries()[name](spark, sf)
     got = rows_of(df.columns, df.collect())
     if name not in SQL:
