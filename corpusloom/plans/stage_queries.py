@@ -648,10 +648,10 @@ def multilabel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.multilabel_scores(one("quality", 7).union(one("toxic", 5)))
 
 
-@REG.query(f"SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, round(max(similarity), 5) AS similarity FROM ({GRAPH_REG.sql['knn_topk']}) WHERE similarity >= 0.2 GROUP BY 1, 2")
+@REG.query(f"SELECT least(id, neighbour) AS a, greatest(id, neighbour) AS b, max(similarity) AS similarity FROM ({GRAPH_REG.sql['knn_topk']}) WHERE similarity >= 0.2 GROUP BY 1, 2")
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = GRAPH_REG.queries["knn_topk"](spark, sf_dir)
-    return curate.review_pairs(near, 0.2).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    return curate.review_pairs(near, 0.2)
 
 
 @REG.query(f"""WITH {PLACES}, f AS (SELECT 'c' || c_custkey AS subject, 'segment' AS predicate, c_mktsegment AS object FROM customer UNION ALL SELECT 'n' || n_nationkey, 'segment', unnest(['a', 'b']) FROM nation WHERE n_nationkey < 3), ft AS (SELECT * FROM pt UNION ALL SELECT * FROM f),

@@ -347,7 +347,7 @@ def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pr AS (SELECT a.class AS a, b.class AS b FROM tok a JOIN tok b ON a.t = b.t AND a.class < b.class AND b.n >= 0.9 * a.n - 1e-9 AND a.n >= 0.9 * b.n - 1e-9 GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.9 - 1e-12), {components_sql('SELECT a, b FROM pr', 'SELECT DISTINCT class AS id FROM cls')},
     mem AS (SELECT cls.doc_id, comp.root, q FROM cls JOIN comp ON comp.id = cls.class JOIN acc ON acc.doc_id = cls.doc_id), best AS (SELECT root, min_by(doc_id, (-q, doc_id)) AS canonical FROM mem GROUP BY root), gone AS (SELECT doc_id FROM mem JOIN best USING (root) WHERE doc_id <> canonical),
     dec AS (SELECT source, flags, round(score, 4) AS score, reasons = '' AND doc_id NOT IN (FROM gone) AS kept FROM prof)
-    SELECT source, count(*) AS documents, count_if(kept)::BIGINT AS accepted, count_if(NOT kept)::BIGINT AS rejected, count_if(flags <> '')::BIGINT AS flagged, round(avg(score), 4) AS mean_score FROM dec GROUP BY ROLLUP (source)""")
+    SELECT source, count(*) AS documents, count_if(kept)::BIGINT AS accepted, count_if(NOT kept)::BIGINT AS rejected, count_if(flags <> '')::BIGINT AS flagged, round(avg(score), 9) AS mean_score FROM dec GROUP BY ROLLUP (source)""")
 def curation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audited corpus's report by source: near duplicates count as rejected."""
     audit, _ = curate.curate(table(spark, sf_dir, "documents"))
