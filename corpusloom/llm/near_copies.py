@@ -211,6 +211,12 @@ def contracted(links: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components: each id is linked to the least that it was linked to by any task, and so are the others of these. Tasks that saw parts of one group named them after few ids, so little is left."""
+    near = links.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("roots"))  # one a task at most
+    return near.select(F.col("m").alias("a"), F.explode(F.concat(F.array("b"), "roots")).alias("b")).where("a <> b").distinct()
+
+
 def match_blocks(batches: Iterator[pa.RecordBatch], similarity: float = SIMILARITY) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, block, part, role, id, hashes), each block's asked sets (role 0) first, to links (a, b).
 
@@ -276,7 +282,7 @@ def compare(sets: DataFrame, asked: DataFrame, similarity: float) -> DataFrame:
     own = wanted.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("role"), "id", "hashes")
     others = sets.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int").alias("part"), F.lit(1).alias("role"), "id", "hashes")
     dealt = own.union(others).repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "role", "id")
-    return cut_lineage(dealt.mapInArrow(lambda batches: contracted(match_blocks(batches, similarity)), "a long, b long"))
+    return cut_lineage(starred(dealt.mapInArrow(lambda batches: contracted(match_blocks(batches, similarity)), "a long, b long")))
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -292,7 +298,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> D
 def similar_links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, text_col: str) -> DataFrame:
     """(a, b): links of classes (id, f0, f1, one) that join up all that are similar enough."""
     keys = classes.select("id", "f0", "f1").mapInArrow(list_keys, "key long, id long, f0 long, f1 long").repartition("key").sortWithinPartitions("key")
-    found = connected_components(keys.mapInArrow(lambda batches: contracted(cluster_buckets(batches)), "a long, b long"))
+    found = connected_components(starred(keys.mapInArrow(lambda batches: contracted(cluster_buckets(batches)), "a long, b long")))
     clusters = found.select("id", F.col("component").alias("cluster"))
     sizes = cut_lineage(clusters.groupBy("cluster").agg(F.count("*").alias("members")))
     wanted = cut_lineage(classes.join(clusters.join(broadcast_if_small(sizes, sizes.count()), "cluster"), "id").select("cluster", "id", "members", "one.doc_id", "one.t"))
