@@ -5,12 +5,14 @@ Rates r >= 0 minimise, over all documents with t tokens each,
     sum_k (sum_d t p_k r - T_k)^2 / (2 S_k)  +  ridge / 2  sum_d t (r - 1)^2,    S_k = sum_d t p_k,
 so that expected tokens of domain k come to its target T_k and rates stay near 1. In the metric t the
 gradient is p . g + ridge (r - 1) with g_k = (sum_d t p_k r - T_k) / S_k; it needs one K-vector a round,
-which is all that comes to the driver. A document's rate follows from its posteriors and the K-vectors since
-rates were last written, which they are every EVERY rounds.
+which, with three sums that tell when to end, is all that comes to the driver. A rate follows from its posteriors and
+the K-vectors since rates were last written, which they are every EVERY rounds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from .common import bounded_sample, broadcast_if_small, cut_lineage, table
 #: Share of expected tokens by domain.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 RIDGE = 0.01
-STEP = 0.9
 EVERY = 10
 
 
@@ -68,38 +69,65 @@ def posteriors(docs: DataFrame, classifier: DataFrame, domains: list[str], sharp
     return odds.select("doc_id", "source", "text_hash", "tokens", F.array(*(F.round(F.col(f"e{i}") / total, 9) for i in k)).alias("p"), "copies")
 
 
-def rate(start: Column, history: list[list[float]], ridge: float, step: float) -> Column:
-    """A document's rate after the rounds of ``history``, from its posteriors and the rate before them."""
-    if not history:
+def stepped(y: Column, g: list[Column], ridge: float, step: float) -> Column:
+    """A document's rate after a step from the point y, with the gradient's K-vector g."""
+    dot = sum((F.col("p")[i] * x for i, x in enumerate(g)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), y - step * (dot + ridge * (y - 1)))
+
+
+def replayed(rounds: list[list[float]], ridge: float, step: float) -> Column:
+    """(rate, y) after rounds, each a K-vector and a momentum, from the columns rate and y before them."""
+    start = F.struct(F.col("rate").alias("rate"), F.col("y").alias("y"))
+    if not rounds:
         return start
-    rounds = F.array(*(F.array(*map(F.lit, g)) for g in history))
-    dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return F.aggregate(rounds, start, lambda r, g: F.greatest(F.lit(0.0), r - step * (dot(g) + ridge * (r - 1))))
+
+    def after(s: Column, r: Column) -> Column:
+        new = stepped(s["y"], [r[i] for i in range(len(rounds[0]) - 1)], ridge, step)
+        return F.struct(new.alias("rate"), (new + r[len(rounds[0]) - 1] * (new - s["rate"])).alias("y"))
+
+    return F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in rounds)), start, after)
 
 
-def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, step: float = STEP, max_rounds: int = 1_000, tolerance: float = 1e-5) -> DataFrame:
-    """members (tokens, p, copies) with their rate; one aggregate over them a round, until no component of g moves by the tolerance (by its share of those over 1: targets that the documents can't reach). Raises if rounds run out."""
+def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, step: float | None = None, max_rounds: int = 1_000, tolerance: float = 1e-6) -> DataFrame:
+    """members (tokens, p, copies) with their rate. Raises if rounds run out.
+
+    Members with equal posteriors have equal rates, so rounds go over the distinct ones with their tokens, one
+    aggregate a round. Steps start from a point ahead of the rates (Nesterov), which begins anew at them when a step
+    turns back. The cost is convex by ridge at least, so rates are within tolerance / (step ridge) of the optimum, by
+    the root of their mean square over tokens, when a step moves them by the tolerance; that is where rounds end.
+    """
     k = range(len(weights))
-    t = F.col("tokens") * F.col("copies")
-    sizes = members.agg(F.sum(t).alias("t"), *(F.sum(t * F.col("p")[i]).alias(f"s{i}") for i in k)).first()
+    classes = cut_lineage(members.groupBy("p").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")))
+    sizes = classes.agg(F.count("*").alias("n"), F.sum("t").alias("t"), *(F.sum(F.col("t") * F.col("p")[i]).alias(f"s{i}") for i in k)).first()
     total = float(sizes["t"] or 0)
-    size = [max(float(sizes[f"s{i}"] or 0), 1.0) for i in k]
+    if not total:
+        return members.withColumn("rate", F.lit(1.0))
+    sums = [float(sizes[f"s{i}"]) for i in k]  # of tokens at the rates, which are 1 at first
+    size = [max(s, 1.0) for s in sums]
     share = sum(weights) or 1.0
     goal = [total * w / share for w in weights]
-    state, history, last = members.withColumn("rate", F.lit(1.0)), [], None
-    if not total:
-        return state
+    step = step or 1 / (1 + ridge)
+    most = (1 - math.sqrt(step * ridge)) / (1 + math.sqrt(step * ridge))
+    state, history, ahead, inertia, moved = classes.select("p", "t", F.lit(1.0).alias("rate"), F.lit(1.0).alias("y")), [], sums, 1.0, None
     for _ in range(max_rounds):
-        after = rate(F.col("rate"), history, ridge, step)
-        now = state.agg(*(F.sum(t * F.col("p")[i] * after).alias(f"a{i}") for i in k)).first()
-        g = [round((float(now[f"a{i}"]) - goal[i]) / size[i], 9) for i in k]
-        if last and max(abs(a - b) / max(1.0, abs(b)) for a, b in zip(g, last)) < tolerance:
-            return state.withColumn("rate", after)
-        history.append(g)
-        last = g
+        g = [round((ahead[i] - goal[i]) / size[i], 9) for i in k]
+        point = state.select("p", "t", replayed(history, ridge, step).alias("s")).select("p", "t", "s.*")
+        new = point.withColumn("new", stepped(F.col("y"), list(map(F.lit, g)), ridge, step))
+        now = new.agg(
+            F.sum(F.col("t") * (F.col("y") - F.col("new")) * (F.col("new") - F.col("rate"))).alias("back"), F.sum(F.col("t") * (F.col("y") - F.col("new")) ** 2).alias("moved"), F.sum(F.col("t") * F.col("new") ** 2).alias("square"),
+            *(F.sum(F.col("t") * F.col("p")[i] * F.col("new")).alias(f"a{i}") for i in k),
+        ).first()
+        moved = math.sqrt(now["moved"] / max(now["square"], 1e-300))
+        if moved < tolerance:
+            return members.join(broadcast_if_small(new.select("p", F.col("new").alias("rate")), sizes["n"] * (len(weights) + 1)), "p")
+        before, inertia = 1.0 if now["back"] > 0 else inertia, (1 + math.sqrt(1 + 4 * (1.0 if now["back"] > 0 else inertia) ** 2)) / 2
+        momentum = min((before - 1) / inertia, most)
+        last, sums = sums, [float(now[f"a{i}"]) for i in k]
+        ahead = [a + momentum * (a - b) for a, b in zip(sums, last)]
+        history.append([*g, momentum])
         if len(history) == EVERY:
-            state, history = cut_lineage(state.withColumn("rate", rate(F.col("rate"), history, ridge, step))), []
-    raise RuntimeError(f"rates still change after {max_rounds} rounds: {last}")
+            state, history = cut_lineage(state.select("p", "t", replayed(history, ridge, step).alias("s")).select("p", "t", "s.*")), []
+    raise RuntimeError(f"rates still change by {moved} after {max_rounds} rounds")
 
 
 #: Columns that mix() adds.
@@ -107,7 +135,8 @@ ADDED = ("tokens", "domain", "posterior", "rate", "copies")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", ridge: float = RIDGE) -> DataFrame:
-    """docs with tokens, domain, posterior, rate and copies, a row for each row of docs; columns of docs with these names get _in at the end.
+    """docs with tokens, domain, posterior, rate and copies, a row for each row of docs; columns of docs with these names, in
+    whatever case, get _in at the end, again if that name is taken.
 
     rate is the document's nonnegative weight; copies rounds it up or down by the hash of id and text, so
     that sums keep the rate. labelled has doc_id, text and domain; domains without targets aren't used. Among
@@ -123,10 +152,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     copies = (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
     best = F.array_max(F.col("p"))
     domain = F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", best).cast("int")).alias("domain")
-    rated = rated.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "tokens", domain, F.round(best, 6).alias("posterior"), "rate", copies)
-    own = docs.select(*(F.col(f"`{c}`").alias(f"{c}_in" if c in ADDED else c) for c in docs.columns), F.xxhash64(text_col).alias("__text"))
-    same = own["doc_id"].eqNullSafe(rated["__id"]) & own["source"].eqNullSafe(rated["__source"]) & (own["__text"] == rated["__hash"])
-    return own.join(rated, same).drop("__id", "__source", "__hash", "__text")
+    taken = {c.lower() for c in (*docs.columns, *ADDED)}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        return name
+
+    names = [free(c) if c.lower() in ADDED else c for c in docs.columns]
+    i, s, h, own_h = map(free, ("__id", "__source", "__hash", "__text"))
+    rated = rated.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), "tokens", domain, F.round(best, 6).alias("posterior"), "rate", copies)
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), F.xxhash64(text_col).alias(own_h))
+    same = own["doc_id"].eqNullSafe(rated[i]) & own["source"].eqNullSafe(rated[s]) & (own[own_h] == rated[h])
+    return own.join(rated, same).drop(i, s, h, own_h)
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,24 @@ def test_edges(spark):
     assert all(r.posterior == 0.5 for r in rows if r.tokens == 0)
     assert mx.mix(docs.limit(0), labelled, {"x": 1.0, "y": 1.0}).count() == 0
     assert mx.mix(docs, labelled.limit(0), {"x": 1.0, "y": 1.0}).count() == 5
+
+
+def test_rates_settle_where_targets_are_out_of_reach(spark):
+    """A domain that hardly any text holds, with a high target: rounds are few (plain steps take 580), and the rates the optimum's."""
+    rng = np.random.default_rng(31)
+    p = np.round(rng.dirichlet([0.2, 0.02, 8, 2.3], 12), 9)
+    t, w = 2.0 * rng.integers(50, 5_000, 12), np.array([0.2, 0.4, 0.2, 0.2])  # each stands twice
+    size, r = np.maximum((p * t[:, None]).sum(0), 1), np.ones(12)
+    for _ in range(20_000):
+        r = np.maximum(0, r - 0.9 * (p @ ((p.T @ (t * r) - t.sum() * w) / size) + 0.01 * (r - 1)))
+    members = spark.createDataFrame([(k, int(t[k]) // 2, p[k].tolist(), 1) for k in range(12) for _ in (0, 1)], "k long, tokens long, p array<double>, copies long")
+    got = mx.fit_rates(members, w.tolist(), max_rounds=120).collect()
+    assert len(got) == 24 and max(abs(x.rate - r[x.k]) for x in got) < 1e-3 * r.max()
+
+
+def test_columns_called_like_those_of_the_stage(spark):
+    docs = spark.createDataFrame([(1, "aa", "s", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, rate int, rate_in int, Tokens int, __text int, __id int")
+    labelled = spark.createDataFrame([(1, "aa", "x"), (2, "bb", "y")], "doc_id long, text string, domain string")
+    mixed = mx.mix(docs, labelled, {"x": 1.0, "y": 1.0})
+    assert mixed.columns == ["doc_id", "text", "source", "rate_in_in", "rate_in", "Tokens_in", "__text", "__id", *mx.ADDED]
+    assert tuple(mixed.first())[3:8] == (1, 2, 3, 4, 5)
