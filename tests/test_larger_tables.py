@@ -44,3 +44,7 @@ LONG = "plain words that stand for a text of more than fifty characters and ten
 
 def test_blank_texts_are_reported_as_sql_has_them(spark, oracle, tmp_path):
     same_over_documents(spark, oracle, "curation_report", tmp_path, [LONG, " ", "\n\n", None, "", LONG + " ", "short"])
+
+
+def test_blanks_at_the_ends_of_texts_come_back_from_csv(spark, oracle, tmp_path):
+    same_over_documents(spark, oracle, "read_csv_files", tmp_path, [LONG, " ", "\n" + LONG, LONG + "\t", 'a "quoted", \\" word\r\n', None, ""])
