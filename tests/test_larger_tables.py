@@ -48,3 +48,12 @@ def test_blank_texts_are_reported_as_sql_has_them(spark, oracle, tmp_path):
 
 def test_blanks_at_the_ends_of_texts_come_back_from_csv(spark, oracle, tmp_path):
     same_over_documents(spark, oracle, "read_csv_files", tmp_path, [LONG, " ", "\n" + LONG, LONG + "\t", 'a "quoted", \\" word\r\n', None, ""])
+
+
+def test_every_list_comes_back_from_json(spark, oracle, tmp_path):
+    """Lists that several tasks wrote met in one file, of which the first was read."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same_over_documents(spark, oracle, "read_json_files", tmp_path, [f"{LONG} {k}\n" for k in range(200)], 4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
