@@ -57,3 +57,13 @@ def test_every_list_comes_back_from_json(spark, oracle, tmp_path):
         same_over_documents(spark, oracle, "read_json_files", tmp_path, [f"{LONG} {k}\n" for k in range(200)], 4)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_reach_without_edges(spark, oracle, sf, tmp_path):
+    """No pair of nations trades more than twice the mean: lines are shared out evenly."""
+    for name in ("nation", "supplier", "customer", "orders", "lineitem"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    spark.read.parquet(f"{sf}/lineitem.parquet").where("false").coalesce(1).write.parquet(str(tmp_path / "lines"))
+    shutil.move(str(next((tmp_path / "lines").glob("part-*"))), tmp_path / "lineitem.parquet")
+    same_as_sql(spark, oracle, "multi_hop_connectivity", tmp_path)
