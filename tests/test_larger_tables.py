@@ -3,8 +3,11 @@
 import shutil
 from pathlib import Path
 
+import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
+from corpusloom.operators import similarity
 from corpusloom.plans import catalogue
 
 SQL = catalogue.oracle_sql()
@@ -67,3 +70,42 @@ def test_reach_without_edges(spark, oracle, sf, tmp_path):
     spark.read.parquet(f"{sf}/lineitem.parquet").where("false").coalesce(1).write.parquet(str(tmp_path / "lines"))
     shutil.move(str(next((tmp_path / "lines").glob("part-*"))), tmp_path / "lineitem.parquet")
     same_as_sql(spark, oracle, "multi_hop_connectivity", tmp_path)
+
+
+def random_sets():
+    import random
+
+    at = random.Random(3)
+    made = []
+    for _ in range(300):
+        s = set(at.choice(made)) if made and at.random() < 0.6 else {f"w{at.randint(0, 400)}" for _ in range(at.choice([0, 1, 2, 3, 6, 7, 10, 30, 100, 300]))}
+        for _ in range(at.choice([0, 1, 1, 2, 5, len(s) // 20])):
+            s = s - {min(s)} if s and at.random() < 0.5 else s | {f"w{at.randint(0, 400)}"}
+        made.append(s)
+    return made
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("block", [None, ["type"]])
+def test_parts_and_sketches_lose_no_pair(spark, monkeypatch, few, block):
+    monkeypatch.setattr(similarity, "parts_are_few", lambda *a: few)
+    sets = random_sets()
+    rows = [(7 * k, sorted(s), "xy"[k % 5 == 0]) for k, s in enumerate(sets)]
+    first = {}
+    for i, s, t in rows:
+        first.setdefault((tuple(s), t if block else ""), i)
+    items = [(i, set(s), t) for (s, t), i in first.items() if s]
+    want = {(i, j) for i, s, t in items for j, u, v in items if i < j and t == v and len(s & u) / len(s | u) >= 0.85 - 1e-12}
+    members, pairs = similarity.set_similarity(spark.createDataFrame(rows, "id long, tokens array<string>, type string"), 0.85, block=block)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50 and members.count() == 300
+
+
+def test_sets_of_a_small_vocabulary_meet_few_others(spark):
+    """Sixty of 4,096 tokens each, none near another: under single tokens each set met most others, and several times."""
+    import random
+
+    at = random.Random(5)
+    rows = spark.createDataFrame([(k, 0, at.sample(range(4_096), 60)) for k in range(1_500)], "key long, of long, set array<int>")
+    sets = rows.withColumn("set", F.transform("set", lambda t: F.xxhash64(t)))
+    assert similarity.parts_are_few(sets, 0.85) and similarity.by_parts(sets, 0.85).count() < 1_500
+    assert similarity.by_sketches(sets, 0.85).count() < 1_500
