@@ -3,6 +3,7 @@
 import shutil
 from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -109,3 +110,18 @@ def test_sets_of_a_small_vocabulary_meet_few_others(spark):
     sets = rows.withColumn("set", F.transform("set", lambda t: F.xxhash64(t)))
     assert similarity.parts_are_few(sets, 0.85) and similarity.by_parts(sets, 0.85).count() < 1_500
     assert similarity.by_sketches(sets, 0.85).count() < 1_500
+
+
+def test_cosine_pairs_of_blocks_that_stream(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(260, 8)).astype(np.float32)
+    v[200:] = v[:60] + 0.1 * rng.normal(size=(60, 8))
+    rows = spark.createDataFrame([(3 * k, x.tolist()) for k, x in enumerate(v)], "id long, v array<float>")
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = {(3 * int(a), 3 * int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.7, 1)))}
+    for size in (40, 1_000):
+        got = similarity.cosine_pairs(rows, 0.7, rows=size)
+        assert [(r.a, r.b) for r in got.orderBy("a", "b").collect()] == sorted(want)
+    # a row of what the tasks get is one vector, not a block of them
+    plan = similarity.cosine_pairs(rows, 0.7)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan
