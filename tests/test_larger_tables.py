@@ -4,11 +4,12 @@ import shutil
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from corpusloom.operators import similarity
+from corpusloom.operators import dedup, similarity
 from corpusloom.plans import catalogue
 
 SQL = catalogue.oracle_sql()
@@ -125,3 +126,22 @@ def test_cosine_pairs_of_blocks_that_stream(spark):
     # a row of what the tasks get is one vector, not a block of them
     plan = similarity.cosine_pairs(rows, 0.7)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_simhash_keeps_the_digests_of_runs(spark, monkeypatch):
+    """As run by run, for all kinds of characters; a run that came before isn't digested again."""
+    import hashlib
+
+    def plain(text):
+        grams = [text[k : k + 4] for k in range(max(1, len(text) - 3))]
+        hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[8:], "big") for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    monkeypatch.setattr(dedup, "KNOWN_RUNS", 60)
+    texts = ["", "a", "abc", "abcd", "naïve words, naïve words", "\U0001f600 and \U0001f468x" * 3, "\ue000\uffff\u0301é" * 4, "the quick brown fox jumps over lazy dogs again and again and again"]
+    assert [c % (1 << 64) for c in dedup.simhash_md5.func(pd.Series(texts))] == [plain(t) for t in texts]
+    monkeypatch.setattr(dedup, "KNOWN_RUNS", 1_000)
+    seen = []
+    monkeypatch.setattr(dedup, "run_bits", lambda r, f=dedup.run_bits: seen.append(r) or f(r))
+    dedup.simhash_md5.func(pd.Series([texts[-1][1:] + "!"] * 50))
+    assert len(seen) < 100
